@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import media, mixing, warc
+from . import media, mixing, pieces, quality, warc
 
 QUERIES = {
     "op1_media_sniff": media.op1_media_sniff,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op9_warc_convert": warc.op9_warc_convert,
     "op10_mix_curriculum": mixing.op10_mix_curriculum,
 }
 
 ORACLES = {
+    "op7_quality_rules": quality.OP7_SQL,
     "op9_warc_convert": warc.OP9_SQL,
     "op10_mix_curriculum": mixing.OP10_SQL,
 }
