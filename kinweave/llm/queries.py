@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, pieces, quality, warc
+from . import language, media, mixing, pieces, quality, toxicity, warc
 
 QUERIES = {
     "op1_media_sniff": media.op1_media_sniff,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op6_language_id": language.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc_convert": warc.op9_warc_convert,
     "op10_mix_curriculum": mixing.op10_mix_curriculum,
 }
