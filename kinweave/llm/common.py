@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.sources.shared import written  # noqa: F401
+
 #: Rows in one Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 256
 
@@ -55,26 +57,3 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 
 def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([pa.field(f.split()[0], ARROW[f.split()[1]]) for f in schema.split(", ")])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='kinweave-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder and read again: its lineage is cut and lost executors cost nothing."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
