@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, pieces, quality, simhash, toxicity, warc
+from . import language, media, mixing, pieces, quality, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_media_sniff": media.op1_media_sniff,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op6_language_id": language.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
