@@ -4,9 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import common
+from kinweave.llm import common, mixing, pieces, simhash, suffixes, toxicity
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine, learned from docs and the labels, does not reject."""
+    common.short_batches(spark)
+    return toxicity.drop_toxic(docs, toxicity.machine_for(docs, common.table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates the document with the smallest id."""
+    common.short_batches(spark)
+    return simhash.drop_near_duplicates(docs)
+
+
+def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the 200-byte strings that the rest of the corpus or they themselves hold again."""
+    common.short_batches(spark)
+    return suffixes.strip_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in training order: each document as often as it is taken, whole."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the ids, and of their decoding, of each document of the mix."""
+    common.short_batches(spark)
+    return pieces.piece_digests(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("suffixes", strip_repeats), ("mixing", mix_sources), ("pieces", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

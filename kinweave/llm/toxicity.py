@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -314,6 +315,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     return out[0], out[1]
 
 
+class Judge:
+    """Scores of texts by one machine; margins of units are kept, up to a bound. Made once a task."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.known = machine, {}
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        known, m = self.known, self.machine
+        docs = [units(t or "") for t in texts]
+        missing = sorted(set().union(*docs) - known.keys())
+        if len(known) + len(missing) > KEPT:
+            known.clear()
+            missing = sorted(set().union(*docs))
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
+            known.update(zip(part, m.margins(part).tolist(), strict=True))
+        return [m.probability(max(map(known.__getitem__, d), default=m.bias)) for d in docs]
+
+
+def drop_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text scores 0.5 or more; all columns as they are."""
+    if machine is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches):
+        judge = Judge(shared.value)
+        for batch in batches:
+            clean = [x < 0.5 for x in judge.scores(batch.column(text_col).to_pylist())]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """doc_id, held_out, score, predicted. The machine has at most LANDMARKS landmarks; it goes to the workers with the code."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -322,19 +357,10 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
-        m = shared.value
-        known: dict[str, float] = {}
+        judge = Judge(shared.value)
 
         def step(batch):
-            docs_ = [units(t) for t in batch["text"]]
-            missing = sorted(set().union(*docs_) - known.keys())
-            if len(known) + len(missing) > KEPT:
-                known.clear()
-                missing = sorted(set().union(*docs_))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                known.update(zip(part, m.margins(part).tolist(), strict=True))
-            p = [m.probability(max(map(known.__getitem__, d), default=m.bias)) for d in docs_]
+            p = judge.scores(batch["text"])
             return {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": p, "predicted": [int(x >= 0.5) for x in p]}
 
         return step
