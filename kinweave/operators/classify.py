@@ -88,7 +88,7 @@ def model_features(pairs: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, x_cols: list[str], target: str, seed: int = 7) -> PipelineModel:
     """Gradient-boosted trees over the feature columns; the target is 0 or 1."""
-    trees = GBTClassifier(featuresCol="features", labelCol=target, maxIter=20, maxDepth=4, seed=seed)
+    trees = GBTClassifier(featuresCol="features", labelCol=target, maxIter=10, maxDepth=4, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=x_cols, outputCol="features"), trees]).fit(labelled)
 
 
