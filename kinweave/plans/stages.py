@@ -31,11 +31,16 @@ class Stages:
     def cleaned(self) -> DataFrame:
         return cleaning.clean_accounts(self.accounts, self.data.profane, self.data.suffixes)
 
+    @cached_property
+    def table(self) -> DataFrame:
+        """Cleaned accounts as a written table, for what reads them more than once."""
+        return written(self.cleaned, "cleaned")
+
     @cached_property
     def known(self) -> DataFrame:
         """Cleaned accounts with gender."""
         d = self.data
-        return gender.predict(self.cleaned, d.names_us_ca, d.names_row, d.labelled_names)
+        return gender.predict(self.table, d.names_us_ca, d.names_row, d.labelled_names)
 
     def person_pairs(self, key: str) -> DataFrame:
         return pairs.record_pairs(self.known, key, roles=ROLES)
@@ -46,7 +51,7 @@ class Stages:
 
     @cached_property
     def device_pairs(self) -> DataFrame:
-        return pairs.device_pairs(self.data.devices, self.cleaned)
+        return pairs.device_pairs(self.data.devices, self.table)
 
     @cached_property
     def device_matches(self) -> DataFrame:
@@ -55,18 +60,18 @@ class Stages:
     @cached_property
     def person_edges(self) -> DataFrame:
         """Phone pairs with one last name or one e-mail, and matched device pairs."""
-        p = pairs.record_pairs(self.cleaned, "phone", roles=ROLES)
+        p = pairs.record_pairs(self.table, "phone", roles=ROLES)
         same = lambda c: T.both_valid(F.col(f"{c}_1"), F.col(f"{c}_2")) & (F.col(f"{c}_1") == F.col(f"{c}_2"))
         rule = p.where(same("last_nm") | same("email_address")).select("card_nbr_1", "card_nbr_2")
         return rule.unionByName(self.device_matches.where("prediction = 1").select("card_nbr_1", "card_nbr_2"))
 
     @cached_property
     def person_components(self) -> DataFrame:
-        return graph.connected_components(self.person_edges, "card_nbr_1", "card_nbr_2")
+        return written(graph.connected_components(self.person_edges, "card_nbr_1", "card_nbr_2"), "person_components")
 
     @cached_property
     def persons(self) -> DataFrame:
-        return identity.person_ids(self.cleaned, self.person_components, hashed=False)
+        return written(identity.person_ids(self.table, self.person_components, hashed=False), "persons")
 
     @cached_property
     def person_cards(self) -> DataFrame:
@@ -83,7 +88,7 @@ class Stages:
 
     @cached_property
     def household_components(self) -> DataFrame:
-        return graph.connected_components(self.household_edges, "card_nbr_1", "card_nbr_2")
+        return written(graph.connected_components(self.household_edges, "card_nbr_1", "card_nbr_2"), "household_components")
 
     @cached_property
     def households(self) -> DataFrame:
