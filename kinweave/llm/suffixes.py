@@ -182,12 +182,34 @@ class Anchors:
         return rolling.mix(where + (at - start).astype(np.uint64))
 
 
-def places(owned: np.ndarray) -> np.ndarray:
-    """The different anchors, in order."""
-    return owned[np.flatnonzero(np.diff(owned, prepend=-1))]
+def places(owned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different anchors, in order, and the first and last of the windows that own each: neighbours, as least places only move on."""
+    low = np.flatnonzero(np.diff(owned, prepend=-1))
+    return owned[low], low, np.append(low[1:], owned.size) - 1
+
+
+# A mark is an anchor of one text in a long: first window that owns it, how many follow, where in the first it lies, kind.
+
+
+def pack_marks(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return ((low << 8 | high - low) << 8 | at - low) << 2
+
+
+def unpack_marks(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, first and last windows, kinds."""
+    low = marks >> 18
+    return low + (marks >> 2 & 255), low, low + (marks >> 10 & 255), marks & 3
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """Rows of a column of lists of longs; null is empty."""
+    values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+    yield from np.split(values, ends[:-1])
 
 
 def _anchor_rows(rows: DataFrame, length: int, gram: int, surroundings: bool) -> DataFrame:
+    """h and c, the hash of all around; or h, id and mark."""
+
     def run(batches):
         tool = Anchors(length, gram)
         for batch in batches:
@@ -195,39 +217,43 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int, surroundings: bool) ->
             for i, raw in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
                 h, owned = tool.owned(raw)
                 if owned.size:
-                    at = places(owned)
-                    parts.append((h[at].view(np.int64), np.full(at.size, i, np.int64), at.astype(np.int32), tool.surroundings(at).view(np.int64) if surroundings else at))
+                    at, low, high = places(owned)
+                    more = (tool.surroundings(at).view(np.int64),) if surroundings else (np.full(at.size, i, np.int64), pack_marks(at, low, high))
+                    parts.append((h[at].view(np.int64), *more))
             if parts:
-                h, ids, at, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((h, c) if surroundings else (h, ids, at))], ["h", "c"] if surroundings else ["h", "id", "at"])
+                columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "c"] if surroundings else ["h", "id", "mark"])
 
-    return rows.mapInArrow(run, "h long, c long" if surroundings else "h long, id long, at int")
+    return rows.mapInArrow(run, "h long, c long" if surroundings else "h long, id long, mark long")
 
 
 def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """From id, raw and marks: kind, key, more, id, at, before, after. Mixed anchors with their surroundings; crowded ones window by window."""
+    """From id, raw, marks and keys of what is not uniform: kind, key, more, id, at, before, after. Mixed anchors with their surroundings; crowded ones window by window."""
 
     def run(batches):
         tool = Anchors(length, gram)
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("kind", "key", "more", "id", "at", "before", "after")}
-            for i, raw, marks in zip(*(batch.column(n).to_pylist() for n in ("id", "raw", "marks")), strict=True):
-                kinds = {m >> 2: m & 3 for m in marks}
-                h, owned = tool.owned(raw)
-                for p in (p for p, k in kinds.items() if k == MIXED):
-                    row = (MIXED, int(h[p].view(np.int64)), 0, i, p, raw[max(0, p - tool.back) : p], raw[p : p + tool.on])
-                    for name, x in zip(out, row, strict=True):
-                        out[name].append(x)
-                crowd = np.array([p for p, k in kinds.items() if k == CROWD], np.int64)
-                if crowd.size:
-                    at = np.flatnonzero(np.isin(owned, crowd))
+            for i, raw, marks, keys in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist(), _lists(batch.column("marks")), _lists(batch.column("keys")), strict=True):
+                at, low, high, kind = unpack_marks(marks)
+                mixed = kind == MIXED
+                pick = at[mixed].tolist()
+                out["kind"] += [MIXED] * len(pick)
+                out["key"] += keys[mixed].tolist()
+                out["more"] += [0] * len(pick)
+                out["id"] += [i] * len(pick)
+                out["at"] += pick
+                out["before"] += [raw[max(0, p - tool.back) : p] for p in pick]
+                out["after"] += [raw[p : p + tool.on] for p in pick]
+                if not mixed.all():
+                    tool.data = np.frombuffer(raw, np.uint8)
+                    at = np.concatenate([np.arange(a, b + 1) for a, b in zip(low[~mixed], high[~mixed], strict=True)])
                     a, b = (t.stretches(t.table[tool.data], at, at + length, t.bytes_).view(np.int64).tolist() for t in (tool.first, tool.second))
-                    for row in zip([CROWD] * at.size, a, b, [i] * at.size, at.tolist(), [None] * at.size, [None] * at.size, strict=True):
-                        for name, x in zip(out, row, strict=True):
-                            out[name].append(x)
+                    for name, x in (("kind", [CROWD] * at.size), ("key", a), ("more", b), ("id", [i] * at.size), ("at", at.tolist()), ("before", [None] * at.size), ("after", [None] * at.size)):
+                        out[name] += x
             if out["kind"]:
-                kinds_ = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds_, strict=True)], list(out))
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], list(out))
 
     return rows.mapInArrow(run, "kind int, key long, more long, id long, at int, before binary, after binary")
 
@@ -269,43 +295,51 @@ def byte_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), common.text_bytes(text_col).alias("raw"), *([F.struct(*keep).alias("kept")] if keep else []))
     kept_type = f", kept {rows.schema['kept'].dataType.simpleString()}" if keep else ""
     long_enough = F.octet_length("raw") >= length
+    if length - gram > 255:
+        raise ValueError("a window may be at most 255 bytes longer than its anchor")
     seen = _anchor_rows(rows.select("id", "raw").where(long_enough), length, gram, True).groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
     kind = F.when(F.col("low") == F.col("high"), UNIFORM).when(F.col("n") <= hot, MIXED).otherwise(CROWD)
     kinds = common.written(seen.select("h", kind.alias("kind")), "anchors")
-    marks = _anchor_rows(rows.select("id", "raw").where(long_enough), length, gram, False).join(kinds, "h").select("id", (F.col("at").cast("long") * 4 + F.col("kind")).alias("mark"))
-    marks = common.written(marks.groupBy("id").agg(F.collect_list("mark").alias("marks")), "marks")
-    sorting = F.exists("marks", lambda m: m.bitwiseAND(F.lit(3)) != UNIFORM)
-    contexts = common.written(_contexts(rows.select("id", "raw").where(long_enough).join(marks.where(sorting), "id"), length, gram), "contexts")
-    proven = _sorted_stretches(contexts, length).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("proven"))
-    single = contexts.where(F.col("kind") == CROWD).groupBy("key", "more").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("at").alias("at")).where("n = 1").groupBy("id").agg(F.collect_list("at").alias("single"))
+    marks = _anchor_rows(rows.select("id", "raw").where(long_enough), length, gram, False).join(kinds, "h")
+    kept_key = F.when(F.col("kind") != UNIFORM, F.struct(F.col("mark") + F.col("kind"), F.col("h").alias("key")))
+    marks = marks.groupBy("id").agg(F.collect_list(F.when(F.col("kind") == UNIFORM, F.col("mark"))).alias("sure"), F.collect_list(kept_key).alias("open"))
+    marks = common.written(marks.select("id", "sure", F.col("open.col1").alias("marks"), F.col("open.key").alias("keys")), "marks")
+    contexts = common.written(_contexts(rows.select("id", "raw").where(long_enough).join(marks.where(F.size("marks") > 0), "id"), length, gram), "contexts")
+    proven = _sorted_stretches(contexts, length).groupBy("id").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 31) + F.col("stop")).alias("proven"))
+    single = contexts.where(F.col("kind") == CROWD).groupBy("key", "more").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("at").alias("at")).where("n = 1").groupBy("id").agg(F.collect_list(F.col("at").cast("long")).alias("single"))
 
     def remove(batches):
-        tool = Anchors(length, gram)
         for batch in batches:
             out = []
-            for raw, marked, spans, alone in zip(*(batch.column(n).to_pylist() for n in ("raw", "marks", "proven", "single")), strict=True):
-                change = np.zeros(len(raw) + 1, np.int64)
-                if marked:
-                    _, owned = tool.owned(raw)
-                    sure = np.array([m >> 2 for m in marked if m & 3 != MIXED], np.int64)
-                    at = np.flatnonzero(np.isin(owned, sure))
-                    if alone:
-                        at = np.setdiff1d(at, alone)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + length, -1)
-                for s in spans or ():
-                    if s["stop"] <= len(raw):
-                        change[s["start"]] += 1
-                        change[s["stop"]] -= 1
-                gone = np.cumsum(change[:-1]) > 0
-                out.append(np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist())
+            for raw, sure, marked, spans, alone in zip(batch.column("raw").to_pylist(), *(_lists(batch.column(n)) for n in ("sure", "marks", "proven", "single")), strict=True):
+                start, stop = [spans >> 31], [spans & (1 << 31) - 1]
+                if sure.size:
+                    _, low, high, _ = unpack_marks(sure)
+                    start.append(low)
+                    stop.append(high + length)
+                if marked.size:
+                    _, low, high, kind = unpack_marks(marked)
+                    crowd = kind == CROWD
+                    if crowd.any():
+                        at = np.setdiff1d(np.concatenate([np.arange(a, b + 1) for a, b in zip(low[crowd], high[crowd], strict=True)]), alone)
+                        start.append(at)
+                        stop.append(at + length)
+                start, stop = np.concatenate(start), np.concatenate(stop)
+                # Sorted by start, a run ends where the next start is beyond all stops so far.
+                order = np.argsort(start, kind="stable")
+                start, reach = start[order], np.maximum.accumulate(stop[order])
+                new = np.flatnonzero(start[1:] > reach[:-1]) + 1
+                if start.size:
+                    out.append(np.column_stack([start[np.r_[0, new]], reach[np.r_[new - 1, start.size - 1]]]).ravel().tolist())
+                else:
+                    out.append([])
             ids = [None if i == NO_ID else i for i in batch.column("id").to_pylist()]
             more = [batch.column("kept")] if keep else []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("raw"), pa.array(out, pa.list_(pa.int32())), *more], ["doc_id", "raw", "removed", "kept"][: 3 + len(more)])
 
     told = marks.join(proven, "id", "left").join(single, "id", "left")
-    told = common.written(told, "told")
-    return rows.join(told, "id", "left").select("id", "raw", "marks", "proven", "single", *(["kept"] if keep else [])).mapInArrow(remove, "doc_id long, raw binary, removed array<int>" + kept_type)
+    told = common.written(told.select("id", "sure", "marks", "proven", "single"), "told")
+    return rows.join(told, "id", "left").select("id", "raw", "sure", "marks", "proven", "single", *(["kept"] if keep else [])).mapInArrow(remove, "doc_id long, raw binary, removed array<int>" + kept_type)
 
 
 def kept_bytes(raw: bytes, removed: list[int]) -> bytes:
