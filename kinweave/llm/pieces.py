@@ -16,6 +16,7 @@ Null and empty texts have no tokens but begin and end. Any text is allowed; repe
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from array import array
 
@@ -72,13 +73,32 @@ class Pieces:
 
     def merged(self, text: str) -> list[int]:
         """Step by step: of all neighbours that form a piece, the best and of equals the leftmost join, until none do."""
-        parts = list(text)
-        while True:
-            best = min(((self.rank[i], k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                return [self.ids[p] for p in parts]
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        n = len(text)
+        # parts[k]: the part that starts at k, empty once it has been joined to the one before it.
+        parts, before, after = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[int, int, str]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                both = parts[k] + parts[after[k]]
+                i = self.ids.get(both)
+                if i is not None:
+                    heapq.heappush(heap, (self.rank[i], k, both))
+
+        for k in range(n):
+            offer(k)
+        while heap:
+            _, k, both = heapq.heappop(heap)
+            right = after[k]
+            # Of an offer whose parts have been joined otherwise since, the lengths no longer add up.
+            if not parts[k] or right >= n or len(parts[k]) + len(parts[right]) != len(both):
+                continue
+            parts[k], parts[right], after[k] = both, "", after[right]
+            if after[k] < n:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [self.ids[p] for p in parts if p]
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; null for a single character."""

@@ -59,6 +59,7 @@ def test_pieces_are_the_librarys(odd, none, few):
     p = pieces.Pieces(pieces.default_model())
     rng = random.Random(4)
     texts = [r.text for r in few.collect()] + ["".join(rng.choices(" ▁abcdethinNO\n\té🙂ß.,中", k=rng.randrange(25))) for _ in range(3000)]
+    texts += [" " * 50000 + "a", "ab  " * 5000, "x" * 50000]
     for t in texts:
         assert np.frombuffer(p.encode(t), np.uint32).tolist() == p.model.encode(t)
     back = pieces.decode_pieces(pieces.encode_pieces(odd)).collect()
