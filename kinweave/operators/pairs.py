@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
+from kinweave.sources.shared import written
 
 PERSON_CAP, HOUSEHOLD_CAP = 10_000, 10_000
 PERSON_KEYS = ("phone", "email_address", "household_id")
@@ -63,6 +64,26 @@ def device_pairs(devices: DataFrame, pii: DataFrame, cap: int | None = None) ->
     return pairs.select(F.concat("card_nbr_1", "card_nbr_2").alias("c1c2"), "mobile_device_id", *[f"{c}_{i}" for c in ("card_nbr", *wanted) for i in (1, 2)])
 
 
+def device_cards(devices: DataFrame) -> DataFrame:
+    """mobile_device_id, cnt and cards (different cards, in order, by commas) of the devices of more than one card."""
+    known = devices.where(T.valid(F.col("mobile_device_id")) & T.valid(F.col("card_nbr"))).groupBy("mobile_device_id").agg(F.collect_set("card_nbr").alias("all"))
+    known = known.select("mobile_device_id", F.size("all").cast("long").alias("cnt"), F.array_join(F.array_sort("all"), ",").alias("cards"))
+    return known.where("cnt > 1")
+
+
+def numbered(rows: DataFrame, *by: str, name: str = "rn") -> DataFrame:
+    """rows with their place, from 1, in the order of the columns by; equal ones in any order.
+
+    Rows are dealt out by ranges and numbered within each; the ranges' sizes, one row a partition, give what comes before.
+    """
+    ranged = written(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranged")
+    # One row a partition of the shuffle, so this window and the broadcast are small whatever the input.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return ranged.withColumn("_at", within).join(F.broadcast(sizes), "_range").select(*rows.columns, (F.col("_before") + F.col("_at")).alias(name))
+
+
 def without_pairs(pairs: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs that are not in done; a pair is known by its two cards, not by their concatenation."""
     return pairs.join(done.select("card_nbr_1", "card_nbr_2").distinct(), ["card_nbr_1", "card_nbr_2"], "left_anti")

@@ -64,7 +64,7 @@ _single("string_length", F.length, "cast(length(v) as integer)")
 _single("word_count", T.word_count, f"cast(len({O.words('v')}) as integer)")
 _single("only_digits", T.only_digits, r"regexp_full_match(v, '[0-9\s]*')")
 _single("split_digit_runs", T.split_digit_runs, r"regexp_replace(regexp_replace(v, '([0-9])([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g')")
-_single("soundex", T.soundex, None)
+_single("soundex", T.soundex, O.soundex("v"))
 _single("metaphone", K.metaphone_code, None)
 _single("person_hash", K.hash20, None)
 
@@ -118,6 +118,11 @@ for _kind, _clean, _clean_sql in (("alpha", T.alpha, O.alpha), ("alnum", T.alnum
 _double("gen_jw", _rounded(lambda a, b: K.pair_function("gen_jw", a, b)), _prefix_sql(_jw_sql))
 _double("gen_damerau", _rounded(lambda a, b: K.pair_function("gen_damerau", a, b)), _prefix_sql(_damerau_sql))
 _double("gen_lev", _rounded(lambda a, b: K.pair_function("gen_lev", a, b)), _prefix_sql(_indel_sql))
+# The same measures under the names of another string library: its ratio is the indel ratio, its Jaro-Winkler the usual one.
+_double("fuzz_lev_ratio_alnum", _rounded(lambda a, b: T.indel_ratio(a, b, T.alnum)), f"round({_indel_sql(O.alnum('a'), O.alnum('b'))}, {DIGITS})")
+_double("fuzz_jw_alnum", _rounded(lambda a, b: K.pair_function("jw_alnum", a, b)), f"round({_jw_sql(O.alnum('a'), O.alnum('b'))}, {DIGITS})")
+_double("gen_fuzz_lev", _rounded(lambda a, b: K.pair_function("gen_lev", a, b)), _prefix_sql(_indel_sql))
+_double("gen_fuzz_jw", _rounded(lambda a, b: K.pair_function("gen_jw", a, b)), _prefix_sql(_jw_sql))
 _double("name_contains", T.contained, "cast(a <> '' and b <> '' and (contains(a, b) or contains(b, a)) as integer)")
 
 
@@ -171,6 +176,10 @@ for _short, _key in (("phone", "phone"), ("email", "email_address"), ("household
 _FEW = "card_nbr_1, card_nbr_2, c1c2, first_nm_1, first_nm_2, email_address_1, email_address_2"
 query("pairs_union_all", f"select {_FEW} from all_pairs")(lambda s: s.all_pairs.select(*_FEW.split(", ")))
 query("pairs_union_distinct", f"select distinct {_FEW} from all_pairs")(lambda s: pairs.union_pairs([s.all_pairs.select(*_FEW.split(", "))], distinct=True))
+query("pairs_numbered", f"select card_nbr_1, card_nbr_2, row_number() over (order by card_nbr_1, card_nbr_2) as rn from ({O.person_pairs('phone')})")(lambda s: pairs.numbered(s.person_pairs("phone").select("card_nbr_1", "card_nbr_2"), "card_nbr_1", "card_nbr_2"))
+query("device_cards", "select mobile_device_id, count(distinct card_nbr) as cnt, string_agg(distinct card_nbr, ',' order by card_nbr) as cards from devices where mobile_device_id <> '' and card_nbr <> '' group by 1 having count(distinct card_nbr) > 1")(
+    lambda s: pairs.device_cards(s.data.devices)
+)
 query("device_pairs", "select * from device_pairs")(lambda s: s.device_pairs)
 query("device_features", "select * from device_features")(lambda s: classify.rule_features(s.device_pairs))
 query("device_match", "select card_nbr_1, card_nbr_2, mobile_device_id, prediction from device_matches")(lambda s: s.device_matches.select("card_nbr_1", "card_nbr_2", "mobile_device_id", "prediction"))

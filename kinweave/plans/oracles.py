@@ -29,6 +29,15 @@ def words(e: str) -> str:
     return rf"list_filter(string_split_regex(trim({e}), '\s+'), lambda t: t <> '')"
 
 
+def soundex(e: str) -> str:
+    """American Soundex: H and W are passed over, runs of a code count once, other signs part runs; what begins with no letter stays as it is."""
+    codes = f"translate(regexp_replace(upper({e}), '[^A-Z]', 'A', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+    codes = f"substr({codes}, 1, 1) || replace(substr({codes}, 2), '7', '')"
+    for digit in "123456":
+        codes = f"regexp_replace({codes}, '{digit}{{2,}}', '{digit}', 'g')"
+    return f"case when regexp_matches({e}, '^[A-Za-z]') then upper(substr({e}, 1, 1)) || rpad(substr(replace(substr({codes}, 2), '0', ''), 1, 3), 3, '0') else {e} end"
+
+
 def pick(e: str, want: int) -> str:
     w = words(e)
     this, other = f"coalesce(({w})[{want + 1}], '')", f"coalesce(({w})[{2 - want}], '')"

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["clean_int", "hash_15", "lev_ratio_alnum", "gen_lev", "phone_validity", "name_clean", "email_clean", "address_clean", "gender_nb", "pairs_phone", "device_match", "person_ids", "incremental_cards", "most_used_store"]
+SOME = ["clean_int", "hash_15", "lev_ratio_alnum", "gen_lev", "soundex", "fuzz_jw_alnum", "pairs_numbered", "device_cards", "phone_validity", "name_clean", "email_clean", "address_clean", "gender_nb", "pairs_phone", "device_match", "person_ids", "incremental_cards", "most_used_store"]
 
 
 def plain(v):

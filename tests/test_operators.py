@@ -75,3 +75,10 @@ def test_an_identity_stream_adds_only_unseen_cards(spark, tmp_path):
         q = insert_stream(stream, lambda: spark.read.parquet(full), lambda df: df.write.mode("append").parquet(full), ["card_nbr", "shopper_first_card_nbr"], lambda df: identity.person_ids(df, None, hashed=False), state).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(full).collect())) == [("1", "old"), ("2", "2")]
+
+
+def test_numbers_follow_the_order_over_all_partitions(spark):
+    rows = [(random.Random(i).randrange(40), i) for i in range(200)]
+    got = pairs.numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.rn)] == sorted(rows) and sorted(r.rn for r in got) == list(range(1, 201))
+    assert pairs.numbered(spark.createDataFrame([], "a int"), "a").count() == 0
