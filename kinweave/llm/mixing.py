@@ -59,7 +59,8 @@ def due(u: Column, rank: Column) -> Column:
     out = u
     for r, (a, b) in enumerate(SCHEDULES):
         if a != b:
-            out = F.when(rank % len(SCHEDULES) == r, (F.sqrt(F.greatest(a * a + 2 * (b - a) * u, F.lit(0.0))) - a) / (b - a)).otherwise(out)
+            # The root of a*t + (b - a)/2 * t*t = u in the form that subtracts no near equals and gives plain zero at 0.
+            out = F.when(rank % len(SCHEDULES) == r, 2 * u / (F.lit(a) + F.sqrt(F.greatest(a * a + 2 * (b - a) * u, F.lit(0.0))))).otherwise(out)
     return out
 
 
@@ -119,8 +120,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return each.orderBy("position", "doc_id").select(*columns)
 
 
-SCHEDULE_SQL = """case rank % 3 when 1 then (sqrt(greatest(1.5 * 1.5 + 2 * (0.5 - 1.5) * u, 0.0)) - 1.5) / (0.5 - 1.5)
-  when 2 then (sqrt(greatest(0.5 * 0.5 + 2 * (1.5 - 0.5) * u, 0.0)) - 0.5) / (1.5 - 0.5) else u end"""
+SCHEDULE_SQL = """case rank % 3 when 1 then 2 * u / (1.5::double + sqrt(greatest(1.5::double * 1.5 + 2 * (0.5::double - 1.5) * u, 0.0::double)))
+  when 2 then 2 * u / (0.5::double + sqrt(greatest(0.5::double * 0.5 + 2 * (1.5::double - 0.5) * u, 0.0::double))) else u end"""
 
 OP10_SQL = rf"""
 with sized as (
