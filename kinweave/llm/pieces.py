@@ -62,13 +62,16 @@ class Pieces:
             raise ValueError("pieces that hold a space inside are not supported")
         inner = "".join(re.escape(c) for c in sorted(self.known - {MARK}))
         self.parts = re.compile(f"{MARK}*[{inner}]+|{MARK}+|.", re.S)
+        self.whole = re.compile(f"{MARK}*[{inner}]+").fullmatch
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        self.fits: dict[int, bool] = {}
+        #: By left token, the right tokens that have been judged against it.
+        self.fits: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.judgements = 0
         self.kept: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[int]:
@@ -141,42 +144,54 @@ class Pieces:
         """The last token of each prefix of a part whose characters are all known (at 0: -1)."""
         last, length, fits = [-1] * (len(part) + 1), self.length, self.fits
         for end, token in self.automaton.iter(part):
-            if last[end + 1] < 0:
-                start = end + 1 - length[token]
-                if start:
-                    key = last[start] << 20 | token
-                    fit = fits.get(key)
-                    if fit is None:
-                        fit = fits[key] = self.fit(last[start], token)
-                    if not fit:
-                        continue
-                last[end + 1] = token
+            end += 1
+            if last[end] < 0:
+                before = last[end - length[token]]
+                if before < 0:  # only at the start of the part
+                    last[end] = token
+                    continue
+                fit = fits[before].get(token)
+                if fit is None:
+                    fit = self.judged(before, token)
+                if fit:
+                    last[end] = token
         return last
 
+    def judged(self, left: int, right: int) -> bool:
+        fit = self.fits[left][right] = self.fit(left, right)
+        self.judgements += 1
+        return fit
+
     def encode_part(self, part: str) -> list[int]:
         if MARK * 2 in part:
             return self.merged(part)
-        last, ids, at = self.table(part), [], len(part)
+        last, length, ids, at = self.table(part), self.length, [], len(part)
         while at:
-            ids.append(last[at])
-            at -= self.length[last[at]]
+            token = last[at]
+            ids.append(token)
+            at -= length[token]
         ids.reverse()
         return ids
 
     def part_ids(self, word: str) -> bytes:
         """Ids, as bytes, of a string that begins with a space mark and has none that follows another character."""
-        ids: list[int] = []
-        for part in self.parts.findall(word):
-            if part[-1] in self.known:
-                ids += self.encode_part(part)
-            else:
-                ids += [self.bytes[b] for b in part.encode("utf-8", "surrogatepass")]
+        if self.whole(word):
+            ids = self.encode_part(word)
+        else:
+            ids = []
+            for part in self.parts.findall(word):
+                if part[-1] in self.known:
+                    ids += self.encode_part(part)
+                else:
+                    ids += [self.bytes[b] for b in part.encode("utf-8", "surrogatepass")]
         out = array("I", ids).tobytes()
         if len(word) <= KEEP_UP_TO:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
-                if len(self.fits) > 4 * KEPT:
-                    self.fits.clear()
+                if self.judgements > 4 * KEPT:
+                    self.judgements = 0
+                    for known in self.fits:
+                        known.clear()
             self.kept[word] = out
         return out
 
