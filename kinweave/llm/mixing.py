@@ -8,8 +8,8 @@ Targets: sources, by code point with null last, weigh 1, 2, 3 in turn and share
 what it has, and the excess goes to the others by weight. With sources ordered by most * size / weight this is one pass of
 running sums: a source is full if its share of what fuller ones leave would be above its limit.
 
-Order within a source: md5 of the id, then the id. Running sums go by blocks of that order, then within a block, so that
-no task sees a whole source. Only sources and blocks, whose numbers are bounded, meet in one task.
+Order within a source: md5 of the id, then the id. Running sums go by tops of that order, by blocks within a top, then
+within a block, so that no task sees a whole source, nor all its blocks. Only sources, and a source's tops, meet in one task.
 
 Null texts have size 0. Sources of size 0 have target 0 and nothing is taken. Null ids are allowed and sort first; equal
 ids that repeat are laid one after the other. Empty tables give empty results. Extra columns stay; clashing names are replaced.
@@ -24,8 +24,10 @@ from . import common
 
 #: No document is taken more often.
 MOST = 3.0
-#: Hex digits of md5 that name a block: 16 ** 3 blocks a source.
-BLOCK_DIGITS = 3
+#: Hex digits of md5 that name a block: 16 ** 4 blocks a source. Results do not depend on it; 33 TB of one source make blocks of half a GB.
+BLOCK_DIGITS = 4
+#: Digits of a block's name that name its top: a source has 16 ** 2 tops, a top has as many blocks.
+TOP_DIGITS = 2
 #: Weight at the beginning and the end of training, by rank modulo 3: even, falling, rising. Integrals over [0, 1] are 1.
 SCHEDULES = ((1.0, 1.0), (1.5, 0.5), (0.5, 1.5))
 
@@ -84,8 +86,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ).repartition("key", "block")
     blocks = sized.groupBy("key", "source", "block").agg(F.sum("size").alias("in_block"))
     of = targets(blocks.groupBy("key", "source").agg(F.sum("in_block").alias("source_size")), most)
-    ahead = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("key", "block", F.coalesce(F.sum("in_block").over(ahead), F.lit(0)).alias("ahead"))
+    # What is ahead of a block: the tops before its own, and the blocks before it in its top.
+    blocks = blocks.select("key", "block", "in_block", F.substring("block", 1, TOP_DIGITS).alias("top"))
+    first, then = (Window.partitionBy(*by).orderBy(of_).rowsBetween(Window.unboundedPreceding, -1) for by, of_ in ((("key",), "top"), (("key", "top"), "block")))
+    tops = blocks.groupBy("key", "top").agg(F.sum("in_block").alias("in_top")).select("key", "top", F.coalesce(F.sum("in_top").over(first), F.lit(0)).alias("tops_ahead"))
+    blocks = blocks.withColumn("blocks_ahead", F.coalesce(F.sum("in_block").over(then), F.lit(0))).join(tops, ["key", "top"])
+    blocks = blocks.select("key", "block", (F.col("tops_ahead") + F.col("blocks_ahead")).alias("ahead"))
     blocks = blocks.join(of.select("key", "source_size", "rank", "target"), "key")
     before = Window.partitionBy("key", "block").orderBy("turn", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).join(blocks, ["key", "block"])
