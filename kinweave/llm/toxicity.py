@@ -35,7 +35,6 @@ ORDER, DECAY = 4, 0.7
 LONGEST, STRIDE = 24, 12
 #: Most labelled documents learned from.
 POSITIVE, NEGATIVE = 1500, 2500
-LANDMARKS = 40
 #: Least likelihood ratio statistic of a landmark, and fewest toxic documents that hold it.
 LEAST_G, LEAST_DOCS = 30.0, 3
 #: Words of harmless documents that the machine is trained on, and those added because they came nearest.
@@ -106,7 +105,7 @@ def _shared(left: np.ndarray, right: list[str]) -> np.ndarray:
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """Unnormalised kernels of all a with all b (a few dozen, of at most 32 characters). Only pairs that share a subsequence of ORDER are worked out."""
+    """Unnormalised kernels of all a with all b (at most 32 characters). Only pairs that share a subsequence of ORDER are worked out."""
     out = np.zeros((len(a), len(b)))
     lengths = np.array([len(s) for s in a])
     right = _codes(b, max(map(len, b), default=1), -2)
@@ -196,7 +195,7 @@ class Machine:
 
 
 def pick_landmarks(toxic: list[set[str]], others: list[set[str]]) -> list[str]:
-    """Strings of 4 to 10 characters inside words, by likelihood ratio: again and again the best (of near equals the longest), without words that hold one already."""
+    """Strings of 4 to 10 characters inside words, by likelihood ratio: again and again the best (of near equals the longest), without words that hold one already, until none passes the bar."""
     common_words = Counter(w for d in others for w in d)
     inside = lambda w: {w[i : i + n] for n in range(ORDER, 11) for i in range(len(w) - n + 1)}
 
@@ -224,7 +223,7 @@ def pick_landmarks(toxic: list[set[str]], others: list[set[str]]) -> list[str]:
     left = ["\n".join(sorted(d)) for d in rare]
     strength = {s: g for s, k in held.items() if k / p > 4 * against[s] / max(n, 1) and (g := likelihood(k, against[s])) >= LEAST_G}
     chosen: list[str] = []
-    while strength and len(chosen) < LANDMARKS:
+    while strength:
         most = max(strength.values())
         best = min((s for s, g in strength.items() if g >= 0.93 * most), key=lambda s: (-len(s), -strength[s], s))
         chosen.append(best)
@@ -350,7 +349,7 @@ def drop_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text")
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """doc_id, held_out, score, predicted. The machine has at most LANDMARKS landmarks; it goes to the workers with the code."""
+    """doc_id, held_out, score, predicted. The machine has as many landmarks as the sample of labels bears out; it goes to the workers with the code."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if machine is None:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))

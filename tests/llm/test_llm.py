@@ -204,6 +204,14 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, toxicity.train_machine([], [])).count() == odd.count() and toxicity.score(none, machine).count() == 0
 
 
+def test_every_landmark_that_passes_the_bar_is_taken():
+    rng = random.Random(8)
+    stems = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60)]
+    toxic = [{f"plain{k}", *(stems[(5 * k + i) % 60] for i in range(5))} for k in range(240)]
+    chosen = toxicity.pick_landmarks(toxic, [{f"other{k}", f"word{k % 7}"} for k in range(480)])
+    assert all(any(c in s for c in chosen) for s in stems)
+
+
 def test_archives(spark):
     for version in (1, 2):
         data = warc.arc_archive([("http://a/", "20010203040506", "text/html", b"HTTP/1.1 200 OK\r\n\r\nhi\n\n"), ("dns:a", "20010203040506", "text/dns", b"")], version)
