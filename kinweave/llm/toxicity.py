@@ -7,11 +7,13 @@ divided by the root of both units' kernels with themselves. Landmarks are the ch
 documents apart from others. The kernels with the landmarks, times the inverse root of the landmarks' own kernel matrix,
 are a unit's features, on which a linear machine with squared hinge loss is trained: words of toxic documents that hold a
 landmark, and landmarks with letters put in between, against words of others, the hardest of them added twice. A
-document's margin is that of its worst unit; a logistic curve fitted on training documents makes it a probability.
+document's evidence is the margin of its worst unit, and with it the mean of those of its TOP worst ones. Logistic curves
+fitted on training documents make either a probability, and the higher one is the score: one clear insult is enough, several
+doubtful units count for more than one, and harmless words added to a text never lower its score.
 
 At most POSITIVE and NEGATIVE labelled documents, by hash of the id, are learned from, and none that are held out.
 
-Null, empty and word-less texts have the margin of a harmless unit. Long texts are read whole; units of more than LONGEST
+Null, empty and word-less texts have the evidence of harmless units. Long texts are read whole; units of more than LONGEST
 characters are read in overlapping windows. Labels that are null teach nothing; of several labels for an id the highest
 counts. Without toxic labels every score is that of the prior, 0. Repeated rows repeat; null ids are held out; extra columns
 are ignored; empty tables give empty results.
@@ -40,6 +42,8 @@ LEAST_G, LEAST_DOCS = 30.0, 3
 #: Words of harmless documents that the machine is trained on, and those added because they came nearest.
 HARMLESS, HARDEST = 20000, 1500
 KEPT = 400_000
+#: Worst units of a document whose mean margin counts beside that of the very worst.
+TOP = 3
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 EDGES = ".,;:!?()[]{}\"'«»„“”|<>=*#%&$+~`^_/\\-"
 
@@ -132,7 +136,7 @@ def own_kernel(a: list[str]) -> np.ndarray:
 
 
 class Machine:
-    """A trained model: landmarks, the features' projection, the machine's weights and the logistic curve."""
+    """A trained model: landmarks, the features' projection, the machine's weights and the logistic curves."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
@@ -141,7 +145,7 @@ class Machine:
         values, vectors = np.linalg.eigh(own / np.outer(self.roots, self.roots))
         self.project = vectors / np.sqrt(np.maximum(values, 1e-6))
         self.weights, self.bias = np.zeros(len(landmarks)), -1.0
-        self.curve = (1.0, 0.0)
+        self.curves = ((1.0, 0.0, 0.0),)
 
     def features(self, strings: list[str]) -> np.ndarray:
         raw = kernel(strings, self.landmarks)
@@ -173,25 +177,37 @@ class Machine:
             w = new
         self.weights, self.bias = w[:-1], float(w[-1])
 
-    def calibrate(self, margins: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic curve by Newton steps, with smoothed labels, both classes weighing as the rows do."""
-        p, n = toxic.sum(), (~toxic).sum()
-        t = np.where(toxic, (p + 1) / (p + 2), 1 / (n + 2))
-        a, b = 1.0, 0.0
-        for _ in range(100):
-            q = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-            g = np.array([((q - t) * margins).sum() + 1e-3 * a, (q - t).sum()])
-            v = q * (1 - q) + 1e-9
-            h = np.array([[(v * margins**2).sum() + 1e-3, (v * margins).sum()], [(v * margins).sum(), v.sum()]])
-            step = np.linalg.solve(h, g)
-            a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-            if np.abs(step).max() < 1e-8:
-                break
-        self.curve = (float(a), float(b))
-
-    def probability(self, margin: float) -> float:
-        a, b = self.curve
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * margin + b))))
+    def evidence(self, margins: list[float]) -> tuple[float, float]:
+        """A document's greatest margin and the mean of its TOP greatest, from those of its units and TOP harmless ones."""
+        top = sorted([*margins, *[self.bias] * TOP], reverse=True)[:TOP]
+        return top[0], sum(top) / TOP
+
+    def calibrate(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
+        """The curve of the worst unit alone, and that of both parts of the evidence if neither lowers a score in it."""
+        alone = logistic(evidence[:, :1], toxic)
+        both = logistic(evidence, toxic)
+        self.curves = ((alone[0], 0.0, alone[1]), both if min(both[:2]) >= 0 else (0.0, *logistic(evidence[:, 1:], toxic)))
+
+    def probability(self, *margins: float) -> float:
+        """Of a document whose units have these margins."""
+        worst, mean = self.evidence(list(margins))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, max(a * worst + b * mean + c for a, b, c in self.curves)))))
+
+
+def logistic(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
+    """Weights of x's columns and the constant, by Newton steps with smoothed labels, both classes weighing as the rows do."""
+    p, n = toxic.sum(), (~toxic).sum()
+    t = np.where(toxic, (p + 1) / (p + 2), 1 / (n + 2))
+    x = np.column_stack([x, np.ones(len(t))])
+    ridge = np.r_[np.full(x.shape[1] - 1, 1e-3), 0.0]
+    w = np.r_[np.full(x.shape[1] - 1, 1 / (x.shape[1] - 1)), 0.0]
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (q - t) + ridge * w)
+        w = w - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return tuple(map(float, w))
 
 
 def pick_landmarks(toxic: list[set[str]], others: list[set[str]]) -> list[str]:
@@ -288,13 +304,13 @@ def train_machine(toxic: list[str], others: list[str]) -> Machine | None:
         weight = np.r_[weight, worst]
     known: dict[str, float] = {}
 
-    def worst_of(doc: set[str]) -> float:
+    def evidence_of(doc: set[str]) -> tuple[float, float]:
         missing = sorted(doc - known.keys())
         known.update(zip(missing, machine.margins(missing).tolist(), strict=True) if missing else ())
-        return max((known[w] for w in doc), default=machine.bias)
+        return machine.evidence([known[w] for w in doc])
 
-    margins = np.array([worst_of(d) for d in bad_docs + good_docs[: max(200, len(bad_docs))]])
-    machine.calibrate(margins, np.arange(len(margins)) < len(bad_docs))
+    evidence = np.array([evidence_of(d) for d in bad_docs + good_docs[: max(200, len(bad_docs))]])
+    machine.calibrate(evidence, np.arange(len(evidence)) < len(bad_docs))
     return machine
 
 
@@ -330,7 +346,7 @@ class Judge:
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             known.update(zip(part, m.margins(part).tolist(), strict=True))
-        return [m.probability(max(map(known.__getitem__, d), default=m.bias)) for d in docs]
+        return [m.probability(*map(known.__getitem__, d)) for d in docs]
 
 
 def drop_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text") -> DataFrame:

@@ -204,6 +204,16 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, toxicity.train_machine([], [])).count() == odd.count() and toxicity.score(none, machine).count() == 0
 
 
+def test_several_doubtful_units_count_for_more_than_one():
+    machine = toxicity.Machine(["abcdef"])
+    docs = [(1, [0.5, 0.4, 0.4])] * 40 + [(0, [0.5, -0.9])] * 40 + [(0, [-0.8])] * 40 + [(1, [2.0])] * 10
+    machine.calibrate(np.array([machine.evidence(m) for _, m in docs]), np.array([bool(t) for t, _ in docs]))
+    judge = toxicity.Judge(machine)
+    judge.known = {"a": 0.5, "b": 0.4, "c": 0.4, "d": -0.9, "e": 2.0}
+    one, many, clear, padded = judge.scores(["a d", "a b c", "e", "a b c d"])
+    assert one < many == padded and many > 0.5 and clear > 0.5
+
+
 def test_every_landmark_that_passes_the_bar_is_taken():
     rng = random.Random(8)
     stems = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60)]
