@@ -94,6 +94,16 @@ class Stages:
     def households(self) -> DataFrame:
         return identity.household_ids(self.persons, self.household_components, hashed=False)
 
+    @cached_property
+    def whole_household_components(self) -> DataFrame:
+        """Components by all household keys; household_components, as its SQL has it, leaves out e-mail addresses and existing households."""
+        stars = [pairs.household_stars(self.person_cards, k) for k in pairs.HOUSEHOLD_KEYS]
+        return written(graph.connected_components(pairs.union_pairs(stars), "card_nbr_1", "card_nbr_2"), "whole_household_components")
+
+    @cached_property
+    def whole_households(self) -> DataFrame:
+        return identity.household_ids(self.persons, self.whole_household_components, hashed=False)
+
     @cached_property
     def previous(self) -> DataFrame:
         return self.accounts.where(F.col("card_nbr").cast("long") % 10 < 8)

@@ -29,6 +29,19 @@ def test_a_shared_phone_gives_all_pairs_and_one_person(spark):
         pairs.household_pairs(pii, "first_nm")
 
 
+def test_households_are_linked_by_all_five_keys(spark):
+    from kinweave.plans.stages import Stages
+
+    blank = dict.fromkeys(("phone", "address", "first_nm", "last_nm", "first_used_store_id", "len_add", "len_add_comp", "email_address", "household_id"), "")
+    links = [("shopper_id", "01", "02"), ("phone", "02", "03"), ("email_address", "03", "04"), ("household_id", "04", "05")]
+    cards = {c: {**blank, "card_nbr": c, "shopper_id": c} for c in ("01", "02", "03", "04", "05", "06", "07")}
+    for key, a, b in links:
+        cards[a][key] = cards[b][key] = "2065551234" if key == "phone" else f"same {key}"
+    s = Stages(spark, "unused")
+    s.person_cards = spark.createDataFrame([tuple(c[k] for k in cards["01"]) for c in cards.values()], ", ".join(f"{k} string" for k in cards["01"]))
+    assert {r.id: r.component for r in s.whole_household_components.collect()} == dict.fromkeys(("01", "02", "03", "04", "05"), "01")
+
+
 def test_cleaning_rules(spark):
     df = spark.createDataFrame([("1", "john adams", "De la Cruz", "Anna@Gmail.com", "123 Main Ave", "Apt5B", "2065551234"), ("2", None, "", "bad..@x", "PO Box 1", None, "8005551234")], "card_nbr string, first_nm string, last_nm string, email_address string, address_line1 string, address_line2 string, phone string")
     profane, suffixes = spark.createDataFrame([("spam",)], "invalid_name string"), spark.createDataFrame([("avenue", "ave")], "full string, v string")
