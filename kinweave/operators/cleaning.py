@@ -143,10 +143,17 @@ def _scrub_address(c: Column, legacy: bool) -> Column:
     return F.trim(_scrub(c, ["n/a", "na", "n a"], True))
 
 
+#: Most rows of the suffix dimension.
+SUFFIXES = 10_000
+
+
 def suffix_map(suffixes: DataFrame) -> Column:
-    """A map literal of variant to full name, from a dimension whose columns are full name and variants by place. A few hundred rows."""
+    """A map literal of variant to full name, from a dimension whose columns are full name and variants by place. A few hundred rows; more than SUFFIXES are an error."""
     full, *variants = suffixes.columns
-    pairs = sorted({(str(r[v]).lower(), str(r[full]).lower()) for r in suffixes.limit(10_000).collect() for v in variants if r[v]})
+    rows = suffixes.limit(SUFFIXES + 1).collect()
+    if len(rows) > SUFFIXES:
+        raise ValueError(f"more than {SUFFIXES} rows of address suffixes do not fit a map literal")
+    pairs = sorted({(str(r[v]).lower(), str(r[full]).lower()) for r in rows for v in variants if r[v]})
     return F.create_map(*[F.lit(x) for p in dict(pairs).items() for x in p])
 
 

@@ -52,6 +52,11 @@ def test_cleaning_rules(spark):
     assert (a.first_nm, a.email_address, a.address) == ("john", "anna@gmail.com", "123 main avenue apt 5 b")
 
 
+def test_too_many_suffixes_are_an_error_not_cut(spark):
+    with pytest.raises(ValueError):
+        cleaning.suffix_map(spark.range(10_001).selectExpr("concat('full', id) as full", "concat('v', id) as v"))
+
+
 def test_inserts_are_idempotent_and_snapshots_keep_the_newest(spark):
     full, new = spark.createDataFrame([("1", "a")], "card_nbr string, x string"), spark.createDataFrame([("1", "b"), ("2", "c")], "card_nbr string, x string")
     once = identity.insert_unseen(full, new, ["card_nbr", "x"])
