@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.sources.shared import written  # noqa: F401
+from kinweave.sources.shared import remove, written  # noqa: F401
 
 #: Rows in one Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 256
@@ -36,6 +36,21 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def rows_told_apart(docs: DataFrame, id_col: str, **columns: Column) -> tuple[DataFrame, dict]:
+    """id, row and the columns (raw among them) of docs, and what is known of the whole: bytes of raw, the longest, whether ids tell rows apart.
+
+    row is a long of its own for each row. Where all ids are there and differ, counted over the whole table, it is the id.
+    Otherwise the rows are written once with numbers, so that rows with no id, or with one id, stay rows of their own.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *[c.alias(n) for n, c in columns.items()])
+    by = rows.select("id", F.octet_length("raw").cast("long").alias("n")).groupBy("id").agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"), F.max("n").alias("longest"))
+    known = by.agg(F.max("rows").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls"), F.sum("bytes").alias("bytes"), F.max("longest").alias("longest"), F.min("id").alias("least"), F.max("id").alias("greatest")).first().asDict()
+    known["by_id"] = not known["nulls"] and (known["most"] or 0) < 2
+    if known["by_id"]:
+        return rows.withColumn("row", F.col("id")), known
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "rows"), known
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list] | None]], schema: str) -> DataFrame:
     """mapInArrow over column lists. make() runs once a task and returns what maps the lists of a batch to new lists."""
     names = [f.split()[0] for f in schema.split(", ")]

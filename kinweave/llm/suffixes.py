@@ -5,16 +5,17 @@ stretch of GRAM bytes in it with the least hash, the leftmost of equals. Equal w
 that begin at anchors of the same bytes are sorted together, one in about seventy:
 
 * an anchor whose bytes occur once: none of its windows is repeated;
-* an anchor with the same surroundings, as far as its windows reach, wherever it occurs: all its windows are repeated;
-* otherwise the suffixes from the anchor on are sorted, deep-shallow: multikey quicksort, eight bytes a key, down to a
-  shallow depth, then a blind trie for each group that still agrees. The common prefixes of neighbours in that order, and
-  the common suffixes of what stands before the anchor, tell which windows around it occur elsewhere;
-* anchors of more than HOT occurrences with differing surroundings are not sorted in one task: their windows are counted
-  one by one, by 128 bits of hash, aggregated before they are shuffled.
-
-Matches never cross texts; overlaps in one text count. Null texts are empty. Texts shorter than `length` lose nothing but
-may hold nothing either. Null ids are allowed; rows that repeat an id are taken for one document whose copies lose what any of
-them loses. Empty tables give empty results; extra columns are ignored.
+* occurrences with the same surroundings, as far as their windows reach, are a group: one stands for all. In a group of
+  several all windows are repeated. Suffixes of an anchor with one group need no sorting;
+* otherwise the suffixes from the anchor on, one a group, are sorted, deep-shallow: multikey quicksort, eight bytes a key,
+  down to a shallow depth, then a blind trie for each part that still agrees. The common prefixes of neighbours in that
+  order, and the common suffixes of what stands before the anchor, tell which windows around it occur elsewhere;
+* of an anchor with over HOT groups the windows are counted one by one, by 128 bits of hash, one row a group, aggregated
+  before they are shuffled: every split of such windows by the bytes around the anchor ends there.
+
+Matches never cross texts; overlaps in one text count. Every row is a text of its own: rows without an id, or with the same
+one, are told apart by numbers. Null texts are empty. Texts shorter than `length` lose nothing but may hold nothing either.
+Rows with equal texts lose the same. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,8 @@ from . import common, rolling
 LENGTH, GRAM = 200, 64
 #: Depth in bytes at which quicksort gives way to blind tries.
 SHALLOW = 96
-#: Occurrences of an anchor beyond which its windows are counted one by one.
-HOT = 1000
-NO_ID = -(1 << 62)
-UNIFORM, MIXED, CROWD = 0, 1, 2
+#: Different surroundings of an anchor beyond which its windows are counted one by one.
+HOT = 4096
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -188,7 +187,9 @@ def places(owned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owned[low], low, np.append(low[1:], owned.size) - 1
 
 
-# A mark is an anchor of one text in a long: first window that owns it, how many follow, where in the first it lies, kind.
+# A mark is an anchor of one text in a long: first window that owns it, how many follow, where in the first it lies, and two
+# bits for what it stands for among the groups of equal surroundings.
+CROWD, MANY = 2, 1
 
 
 def pack_marks(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -196,7 +197,7 @@ def pack_marks(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def unpack_marks(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, first and last windows, kinds."""
+    """Anchors, first and last windows, the two bits."""
     low = marks >> 18
     return low + (marks >> 2 & 255), low, low + (marks >> 10 & 255), marks & 3
 
@@ -207,139 +208,149 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     yield from np.split(values, ends[:-1])
 
 
-def _anchor_rows(rows: DataFrame, length: int, gram: int, surroundings: bool) -> DataFrame:
-    """h and c, the hash of all around; or h, id and mark."""
+def _anchor_rows(rows: DataFrame, length: int, gram: int, marks: bool) -> DataFrame:
+    """h and c, the hash of all around, of every anchor; with row and mark if wanted."""
 
     def run(batches):
         tool = Anchors(length, gram)
         for batch in batches:
             parts = []
-            for i, raw in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            for i, raw in zip(batch.column("row").to_pylist(), batch.column("raw").to_pylist(), strict=True):
                 h, owned = tool.owned(raw)
                 if owned.size:
                     at, low, high = places(owned)
-                    more = (tool.surroundings(at).view(np.int64),) if surroundings else (np.full(at.size, i, np.int64), pack_marks(at, low, high))
-                    parts.append((h[at].view(np.int64), *more))
+                    more = (np.full(at.size, i, np.int64), pack_marks(at, low, high)) if marks else ()
+                    parts.append((h[at].view(np.int64), tool.surroundings(at).view(np.int64), *more))
             if parts:
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "c"] if surroundings else ["h", "id", "mark"])
+                yield pa.RecordBatch.from_arrays(columns, ["h", "c", "row", "mark"][: len(columns)])
 
-    return rows.mapInArrow(run, "h long, c long" if surroundings else "h long, id long, mark long")
+    return rows.mapInArrow(run, "h long, c long" + (", row long, mark long" if marks else ""))
 
 
 def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """From id, raw, marks and keys of what is not uniform: kind, key, more, id, at, before, after. Mixed anchors with their surroundings; crowded ones window by window."""
+    """From row, raw, marks and keys of the groups that a row stands for: crowd, key, more, row, at, lone, before, after. One surrounding a group; crowded ones window by window."""
 
     def run(batches):
         tool = Anchors(length, gram)
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("kind", "key", "more", "id", "at", "before", "after")}
-            for i, raw, marks, keys in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist(), _lists(batch.column("marks")), _lists(batch.column("keys")), strict=True):
+            out: dict[str, list] = {n: [] for n in ("crowd", "key", "more", "row", "at", "lone", "before", "after")}
+            for i, raw, marks, keys in zip(batch.column("row").to_pylist(), batch.column("raw").to_pylist(), _lists(batch.column("marks")), _lists(batch.column("keys")), strict=True):
                 at, low, high, kind = unpack_marks(marks)
-                mixed = kind == MIXED
-                pick = at[mixed].tolist()
-                out["kind"] += [MIXED] * len(pick)
-                out["key"] += keys[mixed].tolist()
+                plain = (kind & CROWD) == 0
+                pick = at[plain].tolist()
+                out["crowd"] += [False] * len(pick)
+                out["key"] += keys[plain].tolist()
                 out["more"] += [0] * len(pick)
-                out["id"] += [i] * len(pick)
+                out["row"] += [i] * len(pick)
                 out["at"] += pick
+                out["lone"] += ((kind[plain] & MANY) == 0).tolist()
                 out["before"] += [raw[max(0, p - tool.back) : p] for p in pick]
                 out["after"] += [raw[p : p + tool.on] for p in pick]
-                if not mixed.all():
+                if not plain.all():
                     tool.data = np.frombuffer(raw, np.uint8)
-                    at = np.concatenate([np.arange(a, b + 1) for a, b in zip(low[~mixed], high[~mixed], strict=True)])
+                    at = np.concatenate([np.arange(a, b + 1) for a, b in zip(low[~plain], high[~plain], strict=True)])
                     a, b = (t.stretches(t.table[tool.data], at, at + length, t.bytes_).view(np.int64).tolist() for t in (tool.first, tool.second))
-                    for name, x in (("kind", [CROWD] * at.size), ("key", a), ("more", b), ("id", [i] * at.size), ("at", at.tolist()), ("before", [None] * at.size), ("after", [None] * at.size)):
+                    for name, x in (("crowd", [True] * at.size), ("key", a), ("more", b), ("row", [i] * at.size), ("at", at.tolist()), ("lone", [True] * at.size), ("before", [None] * at.size), ("after", [None] * at.size)):
                         out[name] += x
-            if out["kind"]:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            if out["key"]:
+                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    return rows.mapInArrow(run, "kind int, key long, more long, id long, at int, before binary, after binary")
+    return rows.mapInArrow(run, "crowd boolean, key long, more long, row long, at int, lone boolean, before binary, after binary")
 
 
 def _sorted_stretches(contexts: DataFrame, length: int) -> DataFrame:
-    """id, start, stop: bytes that windows around mixed anchors prove repeated."""
+    """row, start, stop: bytes that the sorted suffixes of one anchor prove repeated, for groups of one."""
 
     def close(held: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        if len(held) > 1:
-            for (i, at, *_), found in zip(held, repeats_around([x[2] for x in held], [x[3] for x in held], length), strict=True):
+        for (row, at, lone, *_), found in zip(held, repeats_around([x[3] for x in held], [x[4] for x in held], length), strict=True):
+            if lone:
                 for least, most in found:
-                    yield i, at - most, at - least + length
+                    yield row, at - most, at - least + length
 
     def run(batches):
         held: list[tuple] = []
         key = None
         for batch in batches:
             out = []
-            for k, i, at, before, after in zip(*(batch.column(n).to_pylist() for n in ("key", "id", "at", "before", "after")), strict=True):
+            for k, *one in zip(*(batch.column(n).to_pylist() for n in ("key", "row", "at", "lone", "before", "after")), strict=True):
                 if k != key:
                     out += close(held)
                     held, key = [], k
-                held.append((i, at, before, after))
+                held.append(tuple(one))
             if out:
                 yield _triples(out)
         if out := list(close(held)):
             yield _triples(out)
 
-    return contexts.where(F.col("kind") == MIXED).select("key", "id", "at", "before", "after").repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, start int, stop int")
+    return contexts.where("not crowd").select("key", "row", "at", "lone", "before", "after").repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, start int, stop int")
 
 
 def _triples(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     ids, start, stop = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["id", "start", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["row", "start", "stop"])
 
 
-def byte_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, raw (the text's bytes) and removed: (start, stop) pairs of bytes, flat, of the maximal repeated runs. keep: columns that come along in a struct, kept."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), common.text_bytes(text_col).alias("raw"), *([F.struct(*keep).alias("kept")] if keep else []))
-    kept_type = f", kept {rows.schema['kept'].dataType.simpleString()}" if keep else ""
-    long_enough = F.octet_length("raw") >= length
+def _runs(start: np.ndarray, stop: np.ndarray) -> list[int]:
+    """The union of stretches as starts and stops in turn."""
+    if not start.size:
+        return []
+    # Sorted by start, a run ends where the next start is beyond all stops so far.
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    new = np.flatnonzero(start[1:] > reach[:-1]) + 1
+    return np.column_stack([start[np.r_[0, new]], reach[np.r_[new - 1, start.size - 1]]]).ravel().tolist()
+
+
+def byte_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, raw (the text's bytes) and removed: (start, stop) pairs of bytes, flat, of the maximal repeated runs. One row for each row of docs. keep: columns that come along in a struct, kept."""
     if length - gram > 255:
         raise ValueError("a window may be at most 255 bytes longer than its anchor")
-    seen = _anchor_rows(rows.select("id", "raw").where(long_enough), length, gram, True).groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    kind = F.when(F.col("low") == F.col("high"), UNIFORM).when(F.col("n") <= hot, MIXED).otherwise(CROWD)
-    kinds = common.written(seen.select("h", kind.alias("kind")), "anchors")
-    marks = _anchor_rows(rows.select("id", "raw").where(long_enough), length, gram, False).join(kinds, "h")
-    kept_key = F.when(F.col("kind") != UNIFORM, F.struct(F.col("mark") + F.col("kind"), F.col("h").alias("key")))
-    marks = marks.groupBy("id").agg(F.collect_list(F.when(F.col("kind") == UNIFORM, F.col("mark"))).alias("sure"), F.collect_list(kept_key).alias("open"))
-    marks = common.written(marks.select("id", "sure", F.col("open.col1").alias("marks"), F.col("open.key").alias("keys")), "marks")
-    contexts = common.written(_contexts(rows.select("id", "raw").where(long_enough).join(marks.where(F.size("marks") > 0), "id"), length, gram), "contexts")
-    proven = _sorted_stretches(contexts, length).groupBy("id").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 31) + F.col("stop")).alias("proven"))
-    single = contexts.where(F.col("kind") == CROWD).groupBy("key", "more").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("at").alias("at")).where("n = 1").groupBy("id").agg(F.collect_list(F.col("at").cast("long")).alias("single"))
+    rows, _ = common.rows_told_apart(docs, id_col, raw=common.text_bytes(text_col), **({"kept": F.struct(*[F.col(c) for c in keep])} if keep else {}))
+    kept_type = f", kept {rows.schema['kept'].dataType.simpleString()}" if keep else ""
+    texts = rows.select("row", "raw").where(F.octet_length("raw") >= length)
+
+    # Which anchors occur again, and whether with one surrounding only.
+    seen = _anchor_rows(texts, length, gram, False).groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
+    kinds = common.written(seen.select("h", (F.col("low") == F.col("high")).alias("alike")), "anchors")
+    marks = _anchor_rows(texts, length, gram, True).join(kinds, "h").groupBy("row").agg(F.collect_list(F.when(F.col("alike"), F.col("mark"))).alias("sure"), F.collect_list(F.when(~F.col("alike"), F.struct("mark", "h", "c"))).alias("open"))
+    marks = common.written(marks, "marks")
+    common.remove(kinds)
+
+    # Of the others, a group for each surrounding; its first row stands for it.
+    each = marks.select("row", F.explode("open").alias("o")).select("row", "o.mark", "o.h", "o.c")
+    groups = common.written(each.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "mark")).alias("f")).select("h", "c", "n", "f.row", "f.mark"), "groups")
+    crowds = groups.groupBy("h").agg(F.count("*").alias("different")).where(F.col("different") > (HOT if hot is None else hot)).select("h", F.lit(CROWD).alias("crowd"))
+    code = F.col("mark") + F.coalesce("crowd", F.lit(0)) + F.when(F.col("n") > 1, MANY).otherwise(0)
+    stand = common.written(groups.join(crowds, "h", "left").groupBy("row").agg(F.collect_list(F.struct(code.alias("mark"), F.col("h").alias("key"))).alias("all")).select("row", F.col("all.mark").alias("marks"), F.col("all.key").alias("keys")), "stand")
+    contexts = common.written(_contexts(texts.join(stand, "row"), length, gram), "contexts")
+    proven = _sorted_stretches(contexts, length).groupBy("row").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 31) + F.col("stop")).alias("proven"))
+    single = contexts.where("crowd").groupBy("key", "more").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at")).where("n = 1").groupBy("row").agg(F.collect_list(F.col("at").cast("long")).alias("single"))
+    again = each.join(groups.where("n > 1").select("h", "c"), ["h", "c"]).groupBy("row").agg(F.collect_list("mark").alias("again"))
+    told = marks.select("row", "sure").join(again, "row", "left").join(stand.select("row", F.filter("marks", lambda m: m.bitwiseAND(3) == CROWD).alias("crowd")), "row", "left").join(proven, "row", "left").join(single, "row", "left")
+    told = common.written(told, "told")
+    common.remove(marks, groups, stand, contexts)
 
     def remove(batches):
         for batch in batches:
             out = []
-            for raw, sure, marked, spans, alone in zip(batch.column("raw").to_pylist(), *(_lists(batch.column(n)) for n in ("sure", "marks", "proven", "single")), strict=True):
+            for sure, again_, crowd, spans, alone in zip(*(_lists(batch.column(n)) for n in ("sure", "again", "crowd", "proven", "single")), strict=True):
                 start, stop = [spans >> 31], [spans & (1 << 31) - 1]
-                if sure.size:
-                    _, low, high, _ = unpack_marks(sure)
+                for marked in (sure, again_):
+                    _, low, high, _ = unpack_marks(marked)
                     start.append(low)
                     stop.append(high + length)
-                if marked.size:
-                    _, low, high, kind = unpack_marks(marked)
-                    crowd = kind == CROWD
-                    if crowd.any():
-                        at = np.setdiff1d(np.concatenate([np.arange(a, b + 1) for a, b in zip(low[crowd], high[crowd], strict=True)]), alone)
-                        start.append(at)
-                        stop.append(at + length)
-                start, stop = np.concatenate(start), np.concatenate(stop)
-                # Sorted by start, a run ends where the next start is beyond all stops so far.
-                order = np.argsort(start, kind="stable")
-                start, reach = start[order], np.maximum.accumulate(stop[order])
-                new = np.flatnonzero(start[1:] > reach[:-1]) + 1
-                if start.size:
-                    out.append(np.column_stack([start[np.r_[0, new]], reach[np.r_[new - 1, start.size - 1]]]).ravel().tolist())
-                else:
-                    out.append([])
-            ids = [None if i == NO_ID else i for i in batch.column("id").to_pylist()]
+                if crowd.size:
+                    _, low, high, _ = unpack_marks(crowd)
+                    at = np.setdiff1d(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high, strict=True)]), alone)
+                    start.append(at)
+                    stop.append(at + length)
+                out.append(_runs(np.concatenate(start), np.concatenate(stop)))
             more = [batch.column("kept")] if keep else []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("raw"), pa.array(out, pa.list_(pa.int32())), *more], ["doc_id", "raw", "removed", "kept"][: 3 + len(more)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), pa.array(out, pa.list_(pa.int32())), *more], ["doc_id", "raw", "removed", "kept"][: 3 + len(more)])
 
-    told = marks.join(proven, "id", "left").join(single, "id", "left")
-    told = common.written(told.select("id", "sure", "marks", "proven", "single"), "told")
-    return rows.join(told, "id", "left").select("id", "raw", "sure", "marks", "proven", "single", *(["kept"] if keep else [])).mapInArrow(remove, "doc_id long, raw binary, removed array<int>" + kept_type)
+    return rows.join(told, "row", "left").select("id", "raw", "sure", "again", "crowd", "proven", "single", *(["kept"] if keep else [])).mapInArrow(remove, "doc_id long, raw binary, removed array<int>" + kept_type)
 
 
 def kept_bytes(raw: bytes, removed: list[int]) -> bytes:

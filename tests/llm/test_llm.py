@@ -68,8 +68,9 @@ def test_pieces_are_the_librarys(odd, none, few):
 
 
 def brute_windows(docs, width=20):
-    seen, out = set(), {}
-    for i, text in sorted(docs, key=lambda d: -1 if d[0] is None else d[0]):
+    """n_words, n_removed, kept_sha256 of each (id, text), in the order of ids; rows of one id in the order given."""
+    seen, out = set(), []
+    for i, text in sorted(docs, key=lambda d: -(1 << 63) if d[0] is None else d[0]):
         w = (text or "").encode().split()
         gone = [False] * len(w)
         for k in range(len(w) - width + 1):
@@ -77,22 +78,65 @@ def brute_windows(docs, width=20):
             if q in seen:
                 gone[k : k + width] = [True] * width
             seen.add(q)
-        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
+        out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
     return out
 
 
+def folder(spark, tmp_path, df):
+    """A data folder whose documents are df."""
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def passage(seed, n=40):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+
+
+#: Texts whose ids are null or repeated: equal ones, ones that share a passage, ones that share nothing.
+UNTOLD = [(None, passage(1) + " x " + passage(2)), (None, passage(3) + " y " + passage(2)), (None, passage(4)), (None, passage(4)), (7, passage(5) + " z"), (7, passage(5) + " z"), (7, passage(6)), (8, "u " + passage(5) + " v"), (9, None), (None, "")]
+
+
 def test_word_windows(spark, odd, none, few):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.op3_substring_dedup(spark, SF).collect()}
-    assert got == brute_windows([(r.doc_id, r.text) for r in few.collect()])
-    got = {r.doc_id: sum(r.removed[1::2]) - sum(r.removed[::2]) for r in substrings.window_repeats(odd).collect()}
-    assert got == {i: x[1] for i, x in brute_windows(rows_of(odd)).items()}
-    assert substrings.window_repeats(none).count() == 0
+    got = [tuple(r) for r in substrings.op3_substring_dedup(spark, SF).collect()]
+    assert Counter(got) == Counter(brute_windows([(r.doc_id, r.text) for r in few.collect()]))
+    assert substrings.window_repeats(none).count() == 0 and substrings.window_repeats(odd).count() == odd.count()
     h = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64) & ~np.uint64(0xFFFFF)
     h[::7] = 0
     assert rolling.least_in_windows(h, 13).tolist() == [k + int(np.argmin(h[k : k + 13])) for k in range(488)]
     assert substrings.unpack(substrings.pack(np.array([3, 70, 9000000]))).tolist() == [3, 70, 9000000]
 
 
+def test_word_windows_of_rows_without_ids_of_their_own(spark, tmp_path):
+    df = spark.createDataFrame(UNTOLD, "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in substrings.op3_substring_dedup(spark, folder(spark, tmp_path, df)).collect()]
+    # Which of the rows of one id comes first is the operator's own choice: the passage that two of them share goes once, whichever it is.
+    some = lambda x: Counter((i, n, gone) for i, n, gone, _ in x)
+    assert some(got) == some(brute_windows(UNTOLD))
+
+
+def test_word_windows_in_many_slices(spark, few, monkeypatch):
+    want = Counter(brute_windows([(r.doc_id, r.text) for r in few.collect()]))
+    monkeypatch.setattr(substrings, "SLICE_BITS", 9)
+    monkeypatch.setattr(substrings, "FLUSH", 3000)
+    monkeypatch.setattr(substrings, "PIECE", 500)
+    assert Counter(tuple(r) for r in substrings.op3_substring_dedup(spark, SF).collect()) == want
+
+
+def test_the_sketch_is_as_sparse_at_any_size():
+    for size in (10**6, 10**9, 3 * 10**10, 10**12, 10**14):
+        slices, bits = substrings.width(size)
+        assert size / 5 <= slices << bits <= 2 * max(size / 5, 1 << 18) and bits <= substrings.SLICE_BITS
+    # One slice with its share of the different grams of 30 GB of text: few are taken for repeated ones.
+    _, bits = substrings.width(3 * 10**10)
+    own = np.random.default_rng(3).integers(0, 1 << 64, round((1 << bits) * substrings.SPREAD / 40), dtype=np.uint64)
+    both = np.ones(own.size, bool)
+    for plane in range(substrings.PLANES):
+        _, back, count = np.unique(substrings.counters_of(own, plane, 1, bits), return_inverse=True, return_counts=True)
+        both &= count[back] > 1
+    assert both.mean() < 0.03
+
+
 def brute_fp(text):
     w = (text or "").encode().lower().split()
     if not w:
@@ -130,29 +174,52 @@ def test_gray_index_finds_all_pairs_and_hot_buckets_lose_none(spark, monkeypatch
 
 
 def brute_bytes(docs, n=200):
-    count = Counter(t[k : k + n] for _, t in docs for k in range(len(t) - n + 1))
-    out = {}
-    for i, t in docs:
+    """Starts and stops of the repeated stretches of each text."""
+    count = Counter(t[k : k + n] for t in docs for k in range(len(t) - n + 1))
+    out = []
+    for t in docs:
         gone = [False] * len(t)
         for k in range(len(t) - n + 1):
             if count[t[k : k + n]] > 1:
                 gone[k : k + n] = [True] * n
-        out[i] = [k for k in range(len(t) + 1) if (gone[k] if k < len(t) else False) != (gone[k - 1] if k else False)]
+        out.append([k for k in range(len(t) + 1) if (gone[k] if k < len(t) else False) != (gone[k - 1] if k else False)])
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 1000])
-def test_repeated_bytes(few, hot):
-    docs = [(r.doc_id, (r.text or "").encode()) for r in few.where("doc_id < 120").collect()]
-    got = {r.doc_id: list(r.removed) for r in suffixes.byte_repeats(few.where("doc_id < 120"), hot=hot).collect()}
-    assert got == brute_bytes(docs)
+def byte_rows(rows):
+    """The rows of op5 for (id, text)."""
+    raw = [(t or "").encode() for _, t in rows]
+    return Counter((i, len(t), sum(x[1::2]) - sum(x[::2]), len(x) // 2, hashlib.sha256(suffixes.kept_bytes(t, x)).hexdigest()) for (i, _), t, x in zip(rows, raw, brute_bytes(raw), strict=True))
+
+
+def test_repeated_bytes(spark, few, tmp_path):
+    some = few.where("doc_id < 120")
+    got = suffixes.op5_suffix_dedup(spark, folder(spark, tmp_path, some)).collect()
+    assert Counter(map(tuple, got)) == byte_rows([(r.doc_id, r.text) for r in some.collect()])
+
+
+@pytest.mark.parametrize("hot", [1, 2, 4096])
+def test_repeated_bytes_of_rows_without_ids_of_their_own(spark, odd, tmp_path, monkeypatch, hot):
+    rng = random.Random(9)
+    shared = passage(11, 60)
+    mixed = [(rng.choice([None, 3, 4]), passage(100 + k, 20)[rng.randrange(90) :] + shared[rng.randrange(40) : 380 - rng.randrange(40)] + passage(200 + k, rng.randrange(30))) for k in range(30)]
+    rows = [*UNTOLD, *mixed, *mixed[:3], *[(None, r.text) for r in odd.collect()]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    op = lambda: suffixes.byte_repeats(spark.read.parquet(f"{tmp_path}/documents.parquet"), hot=hot)
+    folder(spark, tmp_path, df)
+    raw = [(t or "").encode() for _, t in rows]
+    assert Counter((r.doc_id, bytes(r.raw), tuple(r.removed)) for r in op().collect()) == Counter((i, t, tuple(x)) for (i, _), t, x in zip(rows, raw, brute_bytes(raw), strict=True))
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    assert Counter(map(tuple, suffixes.op5_suffix_dedup(spark, str(tmp_path)).collect())) == byte_rows(rows)
 
 
-def test_repeated_bytes_in_odd_tables(odd, none):
-    unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
-    assert {r.doc_id: list(r.removed) for r in suffixes.byte_repeats(unique).collect()} == brute_bytes([(r.doc_id, (r.text or "").encode()) for r in unique.collect()])
+def test_stripping_keeps_rows_and_columns(odd, none):
     out = suffixes.strip_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and suffixes.strip_repeats(none).count() == 0
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    raw = [(t or "").encode() for _, t in rows]
+    want = Counter((i, suffixes.kept_bytes(t, suffixes.whole_characters(t, x)).decode()) for (i, _), t, x in zip(rows, raw, brute_bytes(raw), strict=True))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == want
 
 
 def test_deep_shallow_sorts():
@@ -269,6 +336,8 @@ def test_pipeline(spark):
         if name == "simhash":
             assert set(docs.select("doc_id").collect()) == set(simhash.near_duplicates(before).where("doc_id = component_id").select("doc_id").collect())
         if name == "suffixes":
-            want = {r.doc_id: suffixes.kept_bytes(t, suffixes.whole_characters(t, x)).decode() for r in before.collect() for t in [r.text.encode()] for x in [brute[r.doc_id]]} if (brute := brute_bytes([(r.doc_id, r.text.encode()) for r in before.collect()])) else {}
+            rows = before.collect()
+            raw = [(r.text or "").encode() for r in rows]
+            want = {r.doc_id: suffixes.kept_bytes(t, suffixes.whole_characters(t, x)).decode() for r, t, x in zip(rows, raw, brute_bytes(raw), strict=True)}
             assert {r.doc_id: r.text for r in docs.collect()} == want
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() == before.count()
