@@ -1,22 +1,28 @@
-"""Toxicity by a subsequence string kernel: a support vector machine over Nyström landmarks.
-
-A text is a set of units: its words in lower case without punctuation at their ends, and runs of three or more single
-letters joined (spelled-out words). The kernel of two units counts the subsequences of ORDER characters that they share,
-each weighted DECAY to the power of the stretch it covers in both, so that letters put between still leave a match; it is
-divided by the root of both units' kernels with themselves. Landmarks are the character strings that set toxic labelled
-documents apart from others. The kernels with the landmarks, times the inverse root of the landmarks' own kernel matrix,
-are a unit's features, on which a linear machine with squared hinge loss is trained: words of toxic documents that hold a
-landmark, and landmarks with letters put in between, against words of others, the hardest of them added twice. A
-document's evidence is the margin of its worst unit, and with it the mean of those of its TOP worst ones. Logistic curves
-fitted on training documents make either a probability, and the higher one is the score: one clear insult is enough, several
-doubtful units count for more than one, and harmless words added to a text never lower its score.
-
-At most POSITIVE and NEGATIVE labelled documents, by hash of the id, are learned from, and none that are held out.
-
-Null, empty and word-less texts have the evidence of harmless units. Long texts are read whole; units of more than LONGEST
-characters are read in overlapping windows. Labels that are null teach nothing; of several labels for an id the highest
-counts. Without toxic labels every score is that of the prior, 0. Repeated rows repeat; null ids are held out; extra columns
-are ignored; empty tables give empty results.
+"""Toxicity by a subsequence string kernel: a support vector machine over the sentences of labelled documents, with Nyström landmarks.
+
+A text is a list of sentences, a sentence a set of units: its words in lower case, letters and digits only, between marks for
+their two ends; runs of three or more single letters are joined (spelled-out words). The kernel of two units counts the
+subsequences of ORDER characters that they share, each weighted DECAY to the power of the stretch it covers in both, so
+that letters put between still leave a match; it is divided by the root of both units' kernels with themselves, and kernels
+under NEAR, or of units that do not hold HELD of a landmark's characters in order, are 0. The kernel of a sentence with a
+landmark is the sum over its units.
+
+Landmarks are bounded strings that set toxic labelled documents apart from others: stems, taken until none passes the bar, and
+whole words that hold a stem. A sentence's kernels with them, times the inverse root of the landmarks' own kernel matrix,
+are its features, and a linear machine with squared hinge loss is trained on them: sentences of toxic documents against
+sentences of others. Labels are those of whole documents, so the toxic sentences are learned, too: at first all of a toxic
+document that have any feature, then those the machine itself finds toxic, and the document's worst. A document's evidence
+is the margin of its worst sentence and the mean of those of its TOP worst ones. A logistic curve fitted on training
+documents makes a probability of both, which is the score: it rises with either, so several doubtful sentences count for
+more than one, and sentences added to a text never lower its score.
+
+At most POSITIVE and NEGATIVE labelled documents of at most LONGEST_TEXT bytes, by hash of the id, are learned from, and none
+that are held out. All texts are scored whole.
+
+Null, empty and word-less texts have the evidence of an empty sentence. Units of more than LONGEST characters are read in
+overlapping windows, sentences of more than SENTENCE words in pieces. Labels that are null teach nothing; of several labels
+for an id the highest counts. Without toxic labels every score is that of the prior, 0. Repeated rows repeat; null ids are
+held out; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,21 +40,29 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER, DECAY = 4, 0.7
-LONGEST, STRIDE = 24, 12
-#: Most labelled documents learned from.
-POSITIVE, NEGATIVE = 1500, 2500
-#: Least likelihood ratio statistic of a landmark, and fewest toxic documents that hold it.
-LEAST_G, LEAST_DOCS = 30.0, 3
-#: Words of harmless documents that the machine is trained on, and those added because they came nearest.
-HARMLESS, HARDEST = 20000, 1500
+#: Least kernel that counts, and the share of a landmark's characters that a unit must hold in order.
+NEAR, HELD = 0.2, 0.75
+#: Marks for the two ends of a word.
+LEFT, RIGHT = "\x02", "\x03"
+#: Characters of a window of a long unit, and from one window to the next; two overlap by twice the longest landmark.
+LONGEST, STRIDE, MARKED = 40, 16, 12
+#: Words of a sentence, at most.
+SENTENCE = 60
+#: Most labelled documents learned from, and the most bytes of one.
+POSITIVE, NEGATIVE, LONGEST_TEXT = 1500, 2500, 20_000
+#: Least likelihood ratio statistic of a stem and of a whole word that holds one, and fewest toxic documents that have either.
+LEAST_G, WORD_G, LEAST_DOCS = 30.0, 15.0, 3
 KEPT = 400_000
-#: Worst units of a document whose mean margin counts beside that of the very worst.
-TOP = 3
+#: Worst sentences of a document whose mean margin counts beside that of the very worst.
+TOP = 2
+#: Weight of either class in training.
+COST = 10_000.0
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-EDGES = ".,;:!?()[]{}\"'«»„“”|<>=*#%&$+~`^_/\\-"
+END = re.compile(r"(?<=[^\s.!?]{2}[.!?])\s+|\n+")
 
 
 def units(text: str) -> set[str]:
+    """Words in lower case, and spelled-out ones in one."""
     low = text.lower()
     found = set(low.split())
     for run in SPELLED.findall(low):
@@ -56,12 +70,26 @@ def units(text: str) -> set[str]:
     return found
 
 
+def sentences(text: str) -> list[str]:
+    """Parts that end in a line or after a point, of at most SENTENCE words."""
+    out = []
+    for part in END.split(text):
+        words = part.split(" ")
+        out += [part] if len(words) <= SENTENCE else [" ".join(words[i : i + SENTENCE]) for i in range(0, len(words), SENTENCE)]
+    return out
+
+
+def core(unit: str) -> str:
+    """A unit's letters and digits; all of it, if it has none."""
+    return unit if unit.isalnum() else "".join(filter(str.isalnum, unit)) or unit
+
+
 def windows(unit: str) -> list[str]:
-    """A unit's letters and digits (all of it, if it has none), in pieces of at most LONGEST."""
-    core = unit if unit.isalnum() else "".join(filter(str.isalnum, unit)) or unit
-    if len(core) <= LONGEST:
-        return [core]
-    return [core[i : i + LONGEST] for i in range(0, len(core) - LONGEST + STRIDE, STRIDE)]
+    """The core between its marks, in pieces of at most LONGEST."""
+    marked = f"{LEFT}{core(unit)}{RIGHT}"
+    if len(marked) <= LONGEST:
+        return [marked]
+    return [marked[i : i + LONGEST] for i in range(0, len(marked) - LONGEST + STRIDE, STRIDE)]
 
 
 def _codes(strings: list[str], width: int, blank: int) -> np.ndarray:
@@ -135,35 +163,79 @@ def own_kernel(a: list[str]) -> np.ndarray:
     return out
 
 
+def near(strings: list[str], landmarks: list[str]) -> np.ndarray:
+    """Normalised kernels of all strings with all landmarks; 0 where too few characters are shared or the kernel is under NEAR."""
+    out = np.zeros((len(strings), len(landmarks)))
+    if not landmarks:
+        return out
+    own = np.sqrt(own_kernel(landmarks))
+    least = np.array([math.ceil(HELD * len(s)) for s in landmarks])
+    lengths = np.array([len(s) for s in strings])
+    right = _codes(landmarks, max(map(len, landmarks)), -2)
+    for n in np.unique(lengths[lengths >= ORDER]):
+        rows = np.flatnonzero(lengths == n)
+        left = _codes([strings[i] for i in rows], n, -1)
+        p, q = np.nonzero(_shared(left, landmarks) >= least)
+        if p.size:
+            some, back = np.unique(p, return_inverse=True)
+            roots = np.sqrt(own_kernel([strings[rows[i]] for i in some]))[back]
+            for i in range(0, p.size, 4096):
+                k, m = p[i : i + 4096], q[i : i + 4096]
+                value = _pairs(left[k], right[m]) / (roots[i : i + 4096] * own[m])
+                out[rows[k], m] = np.where(value >= NEAR, value, 0)
+    return out
+
+
 class Machine:
-    """A trained model: landmarks, the features' projection, the machine's weights and the logistic curves."""
-
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        own = kernel(landmarks, landmarks)
-        self.roots = np.sqrt(np.maximum(np.diag(own), 1e-12))
-        values, vectors = np.linalg.eigh(own / np.outer(self.roots, self.roots))
-        self.project = vectors / np.sqrt(np.maximum(values, 1e-6))
-        self.weights, self.bias = np.zeros(len(landmarks)), -1.0
-        self.curves = ((1.0, 0.0, 0.0),)
-
-    def features(self, strings: list[str]) -> np.ndarray:
-        raw = kernel(strings, self.landmarks)
-        some = np.flatnonzero(raw.any(axis=1))
-        raw[some] /= np.sqrt(own_kernel([strings[i] for i in some]))[:, None] * self.roots[None, :]
-        return raw @ self.project
-
-    def margins(self, strings: list[str]) -> np.ndarray:
-        """Margin of each unit: the greatest of its windows."""
-        cut = [windows(s) for s in strings]
+    """A trained model: stems and whole words as landmarks, the features' projection, the machine's weights and the logistic curves."""
+
+    def __init__(self, stems: list[str], words: list[str]):
+        self.stems, self.words = stems, words
+        own = near(stems + words, stems + words)
+        values, vectors = np.linalg.eigh((own + own.T) / 2)
+        self.project = vectors / np.sqrt(np.maximum(values, 1e-3))
+        self.weights, self.bias = np.zeros(len(own)), -1.0
+        self.curve = (1.0, 0.0, 0.0)
+
+    def kernels(self, strings: list[str]) -> np.ndarray:
+        """near() with all landmarks; only strings near a stem are held against whole words, which hold stems."""
+        out = np.zeros((len(strings), len(self.stems) + len(self.words)))
+        out[:, : len(self.stems)] = near(strings, self.stems)
+        some = np.flatnonzero(out.any(axis=1))
+        out[some, len(self.stems) :] = near([strings[i] for i in some], self.words)
+        return out
+
+    def unit_kernels(self, found: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units that are near any landmark, and their kernels; of a unit's windows the one with the greatest sum."""
+        cut = [windows(u) for u in found]
         flat = sorted({w for ws in cut for w in ws})
-        value = dict(zip(flat, np.round(self.features(flat) @ self.weights + self.bias, 4).tolist(), strict=True))
-        return np.array([max(value[w] for w in ws) for ws in cut])
-
-    def train(self, x: np.ndarray, y: np.ndarray, cost: float = 1000.0) -> None:
-        """Squared hinge loss by Newton steps over the rows inside the margin; both classes weigh the same."""
+        raw = self.kernels(flat)
+        total = raw.sum(axis=1)
+        at = {w: i for i, w in enumerate(flat) if total[i] > 0}
+        best = [max((at[w] for w in ws if w in at), key=lambda i: total[i], default=-1) for ws in cut]
+        some = [k for k, i in enumerate(best) if i >= 0]
+        return [found[k] for k in some], raw[[best[k] for k in some]]
+
+    def pulls(self, found: list[str]) -> dict[str, float]:
+        """What each unit that is near a landmark adds to the margin of a sentence."""
+        some, raw = self.unit_kernels(found)
+        return dict(zip(some, np.round(raw @ (self.project @ self.weights), 4).tolist(), strict=True))
+
+    def margins(self, text: str, pulling: dict[str, float]) -> list[float]:
+        """Of the sentences of a text that hold units which pull."""
+        out = []
+        for s in sentences(text) if pulling else []:
+            low = s.lower()
+            # A unit of a sentence stands in it as it is, or spelled out.
+            if any(u in low for u in pulling) or SPELLED.search(low):
+                pull = sorted(pulling[u] for u in units(s) & pulling.keys())
+                if pull:
+                    out.append(round(self.bias + sum(pull), 4))
+        return out
+
+    def train(self, x: np.ndarray, y: np.ndarray, c: np.ndarray) -> None:
+        """Squared hinge loss, weighted by c, by Newton steps over the rows inside the margin."""
         x = np.hstack([x, np.ones((len(x), 1))])
-        c = np.where(y > 0, cost / max((y > 0).sum(), 1), cost / max((y < 0).sum(), 1))
         w = np.zeros(x.shape[1])
         w[-1] = -1
         ridge = np.eye(x.shape[1])
@@ -175,23 +247,27 @@ class Machine:
             if np.allclose(new, w, atol=1e-7):
                 break
             w = new
-        self.weights, self.bias = w[:-1], float(w[-1])
+        self.weights, self.bias = w[:-1], round(float(w[-1]), 4)
 
     def evidence(self, margins: list[float]) -> tuple[float, float]:
-        """A document's greatest margin and the mean of its TOP greatest, from those of its units and TOP harmless ones."""
+        """A document's greatest margin and the mean of its TOP greatest, from those of its sentences and TOP empty ones."""
         top = sorted([*margins, *[self.bias] * TOP], reverse=True)[:TOP]
         return top[0], sum(top) / TOP
 
     def calibrate(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
-        """The curve of the worst unit alone, and that of both parts of the evidence if neither lowers a score in it."""
-        alone = logistic(evidence[:, :1], toxic)
+        """The curve of both parts of the evidence, or of the one that raises scores if the other lowers them in it."""
         both = logistic(evidence, toxic)
-        self.curves = ((alone[0], 0.0, alone[1]), both if min(both[:2]) >= 0 else (0.0, *logistic(evidence[:, 1:], toxic)))
+        if both[0] < 0:
+            both = (0.0, *logistic(evidence[:, 1:], toxic))
+        elif both[1] < 0:
+            both = ((alone := logistic(evidence[:, :1], toxic))[0], 0.0, alone[1])
+        self.curve = both
 
     def probability(self, *margins: float) -> float:
-        """Of a document whose units have these margins."""
+        """Of a document whose sentences have these margins."""
         worst, mean = self.evidence(list(margins))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, max(a * worst + b * mean + c for a, b, c in self.curves)))))
+        a, b, c = self.curve
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * worst + b * mean + c))))
 
 
 def logistic(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
@@ -210,58 +286,71 @@ def logistic(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
-def pick_landmarks(toxic: list[set[str]], others: list[set[str]]) -> list[str]:
-    """Strings of 4 to 10 characters inside words, by likelihood ratio: again and again the best (of near equals the longest), without words that hold one already, until none passes the bar."""
-    common_words = Counter(w for d in others for w in d)
-    inside = lambda w: {w[i : i + n] for n in range(ORDER, 11) for i in range(len(w) - n + 1)}
+def bounded(word: str) -> list[str]:
+    """Beginnings and ends of a word's core with the mark at their side, and all of it with both: of 3 letters or more."""
+    c = core(word)
+    if not 3 <= len(c) <= MARKED:
+        return [LEFT + c[:n] for n in range(3, MARKED + 1)] if len(c) > MARKED else []
+    return [f"{LEFT}{c}{RIGHT}", *(LEFT + c[:n] for n in range(3, len(c))), *(c[-n:] + RIGHT for n in range(3, len(c)))]
+
+
+def likelihood(k: int, p: int, m: int, n: int) -> float:
+    """Likelihood ratio statistic of a string in k of p toxic and m of n other documents; 0 unless it is four times as frequent in toxic ones."""
+    if k / max(p, 1) <= 4 * m / max(n, 1):
+        return 0.0
+    total = 0.0
+    for seen, size in ((k, p), (m, n)):
+        expected = (k + m) * size / (p + n)
+        for o, e in ((seen, expected), (size - seen, size - expected)):
+            if o > 0 and e > 0:
+                total += 2 * o * math.log(o / e)
+    return total
 
-    def strings(doc: set[str]) -> set[str]:
-        return set().union(*[inside(c) for w in doc if common_words[w] < 3 and ORDER <= len(c := w.strip(EDGES)) <= LONGEST])
 
-    held = Counter(s for d in toxic for s in strings(d))
-    held = Counter({s: k for s, k in held.items() if k >= max(LEAST_DOCS, 0.002 * len(toxic))})
-    against: Counter[str] = Counter()
-    for d in others:
-        against.update({s for w in d if ORDER <= len(w) <= LONGEST for s in inside(w.strip(EDGES)) if s in held})
+def pick_landmarks(toxic: list[set[str]], others: list[set[str]]) -> tuple[list[str], list[str]]:
+    """Stems: bounded strings by likelihood ratio, again and again the best (of near equals the longest), without words that
+    hold one already, until none passes the bar. Words: whole words that hold a stem and pass theirs."""
     p, n = len(toxic), len(others)
-
-    def likelihood(k: int, m: int) -> float:
-        """Likelihood ratio statistic of a string in k of p toxic and m of n other documents."""
-        total = 0.0
-        for seen, size in ((k, p), (m, n)):
-            expected = (k + m) * size / (p + n)
-            for o, e in ((seen, expected), (size - seen, size - expected)):
-                if o > 0 and e > 0:
-                    total += 2 * o * math.log(o / e)
-        return total
-
-    rare = [{c for w in d if common_words[w] < 3 and ORDER <= len(c := w.strip(EDGES)) <= LONGEST} for d in toxic]
-    left = ["\n".join(sorted(d)) for d in rare]
-    strength = {s: g for s, k in held.items() if k / p > 4 * against[s] / max(n, 1) and (g := likelihood(k, against[s])) >= LEAST_G}
-    chosen: list[str] = []
+    docs_of: dict[str, set[int]] = {}
+    for k, doc in enumerate(toxic):
+        for w in doc:
+            docs_of.setdefault(core(w), set()).add(k)
+    words_of: dict[str, set[str]] = {}
+    for w in docs_of:
+        for s in bounded(w):
+            words_of.setdefault(s, set()).add(w)
+    docs = lambda s: len(set().union(*(docs_of[w] for w in words_of[s])))
+    held = {s: k for s in words_of if (k := docs(s)) >= LEAST_DOCS}
+    inside: dict[str, list[str]] = {}
+    against: Counter[str] = Counter()
+    for doc in others:
+        seen: set[str] = set()
+        for w in doc:
+            if w not in inside:
+                inside[w] = [s for s in bounded(w) if s in held]
+            seen.update(inside[w])
+        against.update(seen)
+    strength = {s: g for s, k in held.items() if (g := likelihood(k, p, against[s], n)) >= WORD_G}
+    whole = {s for s in strength if s[0] == LEFT and s[-1] == RIGHT}
+    strength = {s: g for s, g in strength.items() if g >= LEAST_G}
+    stems: list[str] = []
     while strength:
         most = max(strength.values())
         best = min((s for s, g in strength.items() if g >= 0.93 * most), key=lambda s: (-len(s), -strength[s], s))
-        chosen.append(best)
+        stems.append(best)
         # Words that hold it are explained; strings of theirs count no longer in documents that do not hold them elsewhere.
         changed = set()
-        for k, doc in enumerate(rare):
-            if best in left[k]:
-                gone = {w for w in doc if best in w}
-                doc -= gone
-                left[k] = "\n".join(sorted(doc))
-                for s in set().union(*map(inside, gone)):
-                    if s in strength and s not in left[k]:
-                        held[s] -= 1
-                        changed.add(s)
-        for s in changed:
-            g = likelihood(held[s], against[s])
-            if held[s] < LEAST_DOCS or g < LEAST_G or held[s] / p <= 4 * against[s] / max(n, 1):
+        for w in words_of[best].copy():
+            for s in bounded(w):
+                words_of[s].discard(w)
+                changed.add(s)
+        for s in changed & strength.keys():
+            if (k := docs(s)) < LEAST_DOCS or (g := likelihood(k, p, against[s], n)) < LEAST_G:
                 del strength[s]
             else:
                 strength[s] = g
         strength.pop(best, None)
-    return chosen
+    return stems, sorted(w for w in whole if w not in stems and any(s in w for s in stems))
 
 
 def unlike(texts: list[str]) -> list[str]:
@@ -278,39 +367,41 @@ def unlike(texts: list[str]) -> list[str]:
     return out
 
 
-def spaced(word: str, k: int) -> str:
-    """The word with a letter put between two of its letters."""
-    at = 1 + k % (len(word) - 1)
-    return word[:at] + "xqzvy"[k % 5] + word[at:]
-
-
 def train_machine(toxic: list[str], others: list[str]) -> Machine | None:
     """From the texts of toxic and other labelled documents; null if nothing sets them apart."""
-    bad_docs, good_docs = [units(t) for t in unlike(toxic)], [units(t) for t in unlike(others)]
-    landmarks = pick_landmarks(bad_docs, good_docs)
-    if not landmarks:
+    texts = [*unlike(toxic), *(rest := unlike(others))]
+    bad = np.arange(len(texts)) < len(texts) - len(rest)
+    found = [units(t) for t in texts]
+    stems, words = pick_landmarks([d for d, b in zip(found, bad, strict=True) if b], [d for d, b in zip(found, bad, strict=True) if not b])
+    if not stems:
         return None
-    machine = Machine(landmarks)
-    bad = sorted({c for d in bad_docs for w in d if len(c := w.strip(EDGES)) <= LONGEST and any(s in c for s in landmarks)})[:3000]
-    bad += (landmarks + [spaced(s, k) for s in landmarks for k in range(5)]) * max(1, len(bad) // (6 * len(landmarks)))
-    words = sorted({w for d in good_docs for w in d})
-    words = words[:: max(1, len(words) // HARMLESS)]
-    y = np.r_[-np.ones(len(words)), np.ones(len(bad))]
-    x = machine.features([windows(w)[0] for w in words + bad])
-    weight = np.arange(len(y))
-    for _ in range(3):
-        machine.train(x[weight], y[weight])
-        worst = np.argsort(-(x[: len(words)] @ machine.weights), kind="stable")[:HARDEST]
-        weight = np.r_[weight, worst]
-    known: dict[str, float] = {}
-
-    def evidence_of(doc: set[str]) -> tuple[float, float]:
-        missing = sorted(doc - known.keys())
-        known.update(zip(missing, machine.margins(missing).tolist(), strict=True) if missing else ())
-        return machine.evidence([known[w] for w in doc])
-
-    evidence = np.array([evidence_of(d) for d in bad_docs + good_docs[: max(200, len(bad_docs))]])
-    machine.calibrate(evidence, np.arange(len(evidence)) < len(bad_docs))
+    machine = Machine(stems, words)
+    some, raw = machine.unit_kernels(sorted(set().union(*found)))
+    at = {u: i for i, u in enumerate(some)}
+    # One row for each sentence that has any feature, and one for all that have none.
+    x, owner = [np.zeros(raw.shape[1])], [-1]
+    for k, t in enumerate(texts):
+        if not found[k].isdisjoint(at):
+            for s in sentences(t):
+                mine = [at[u] for u in units(s) if u in at]
+                if mine:
+                    x.append(raw[sorted(mine)].sum(axis=0))
+                    owner.append(k)
+    x, owner = np.array(x) @ machine.project, np.array(owner)
+    toxic_row = (owner >= 0) & bad[owner]
+    positive = toxic_row.copy()
+    for _ in range(4):
+        use = positive | ~toxic_row
+        y = np.where(positive, 1.0, -1.0)
+        c = np.where(positive, COST / max(positive.sum(), 1), COST / max((~toxic_row).sum(), 1))
+        c[0] = COST / 10  # the empty sentence: most of all there are
+        machine.train(x[use], y[use], c[use])
+        margin = x @ machine.weights + machine.bias
+        worst = np.full(len(texts), -np.inf)
+        np.maximum.at(worst, owner[1:], margin[1:])
+        positive = toxic_row & ((margin > 0) | (margin >= worst[owner]))
+    known = machine.pulls(some)
+    machine.calibrate(np.array([machine.evidence(machine.margins(t, {u: known[u] for u in f & known.keys() if known[u]})) for t, f in zip(texts, found, strict=True)]), bad)
     return machine
 
 
@@ -319,22 +410,22 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts of at most POSITIVE toxic and NEGATIVE other labelled documents that are not held out, by hash of the id."""
-    marks = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Texts of at most POSITIVE toxic and NEGATIVE other labelled documents that are not held out, by hash of the id, without those of over LONGEST_TEXT bytes."""
+    marks = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     turn = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
-    out = []
-    for toxic, most in ((1, POSITIVE), (0, NEGATIVE)):
-        ids = [r[0] for r in marks.where((F.col("toxic") > 0) == bool(toxic)).select("doc_id", turn.alias("h")).orderBy("h").limit(most).collect()]
-        picked = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()) if ids else None
-        out.append([r[1] for r in sorted(picked.select("doc_id", F.col("text").cast("string")).collect())] if ids else [])
-    return out[0], out[1]
+    picked = [marks.where(F.col("toxic") == toxic).orderBy(turn, "doc_id").limit(most) for toxic, most in ((True, POSITIVE), (False, NEGATIVE))]
+    # POSITIVE + NEGATIVE rows of two values each, whatever the tables' size.
+    ids = F.broadcast(picked[0].union(picked[1]))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= LONGEST_TEXT).join(ids, "doc_id")
+    rows = sorted(tuple(r) for r in texts.collect())
+    return [t for _, t, toxic in rows if toxic], [t for _, t, toxic in rows if not toxic]
 
 
 class Judge:
-    """Scores of texts by one machine; margins of units are kept, up to a bound. Made once a task."""
+    """Scores of texts by one machine; what units pull is kept, up to a bound. Made once a task."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.known = machine, {}
+        self.machine, self.known, self.nothing = machine, {}, machine.probability()
 
     def scores(self, texts: list[str | None]) -> list[float]:
         known, m = self.known, self.machine
@@ -345,8 +436,13 @@ class Judge:
             missing = sorted(set().union(*docs))
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
-            known.update(zip(part, m.margins(part).tolist(), strict=True))
-        return [m.probability(*map(known.__getitem__, d)) for d in docs]
+            known.update(dict.fromkeys(part, 0.0))
+            known.update(m.pulls(part))
+        out = []
+        for t, d in zip(texts, docs, strict=True):
+            pulling = {u: x for u in d if (x := known[u])}
+            out.append(m.probability(*m.margins(t, pulling)) if pulling else self.nothing)
+        return out
 
 
 def drop_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text") -> DataFrame:

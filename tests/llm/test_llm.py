@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import itertools
 import math
 import random
 import struct
@@ -258,35 +259,90 @@ def test_quality(spark, odd, none):
     assert spark.range(1).select(quality.at_most(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0] == pytest.approx(exact)
 
 
-def test_toxicity(spark, odd, none):
+def plain_kernel(a, b):
+    """Shared subsequences of ORDER characters, by looking at all of them."""
+    places = lambda s: [(i, i[-1] - i[0] + 1) for i in itertools.combinations(range(len(s)), toxicity.ORDER)]
+    return sum(toxicity.DECAY ** (m + n) for i, m in places(a) for j, n in places(b) if [a[x] for x in i] == [b[x] for x in j])
+
+
+def plain_near(u, s):
+    held = [[0] * (len(s) + 1) for _ in range(len(u) + 1)]
+    for i, x in enumerate(u):
+        for j, y in enumerate(s):
+            held[i + 1][j + 1] = held[i][j] + 1 if x == y else max(held[i][j + 1], held[i + 1][j])
+    if len(u) < toxicity.ORDER or held[-1][-1] < math.ceil(toxicity.HELD * len(s)):
+        return 0.0
+    value = plain_kernel(u, s) / math.sqrt(plain_kernel(u, u) * plain_kernel(s, s))
+    return value if value >= toxicity.NEAR else 0.0
+
+
+def test_kernel_and_scores_follow_plain_versions(spark, tmp_path):
     a, b = "idiot", "xaidziot"
-    plain = sum(toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1) for i in __import__("itertools").combinations(range(len(a)), 4) for j in __import__("itertools").combinations(range(len(b)), 4) if [a[x] for x in i] == [b[x] for x in j])
-    assert toxicity.kernel([b, "abc", "wholly"], [a])[:, 0].tolist() == [pytest.approx(plain, rel=1e-5), 0, 0]
-    sf = "/root/testdata/sf0.01"
-    got = toxicity.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang = 'en'").collect()
-    assert np.mean([r.predicted for r in got if not r.toxic]) < 0.02 and np.mean([r.predicted for r in got if r.toxic]) > 0.8
+    assert toxicity.kernel([b, "abc", "wholly"], [a])[:, 0].tolist() == [pytest.approx(plain_kernel(a, b), rel=1e-5), 0, 0]
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdeiorst", k=rng.randrange(1, 9)))
+    said = lambda n: " ".join(rng.choice([word(), word(), word(), "idiot", "Idio-ts", "i d i o t", "moron,", "mo.xron"]) for _ in range(n)) + rng.choice([". ", "!\n", " "])
+    rows = [(k, "".join(said(6) if k % 3 == 0 else " ".join(word() for _ in range(6)) + ". " for _ in range(3)), int(k % 3 == 0)) for k in range(150)] + [(150, None, 0), (151, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.op8_toxicity(spark, str(tmp_path)).collect()}
+    m = toxicity.machine_for(df, df.select("doc_id", "toxic"))
+    pull = m.project @ m.weights
+    memo = {}
+
+    def pulls(u):
+        if u not in memo:
+            best = (0.0, 0.0)
+            for w in toxicity.windows(u):
+                near = [plain_near(w, s) for s in m.stems]
+                near += [plain_near(w, s) if any(near) else 0.0 for s in m.words]
+                best = max(best, (sum(near), sum(x * p for x, p in zip(near, pull, strict=True))))
+            memo[u] = round(best[1], 4)
+        return memo[u]
+
+    assert got.keys() == {r[0] for r in rows}
+    for i, text, _ in rows:
+        margins = [m.bias + sum(map(pulls, toxicity.units(s))) for s in toxicity.sentences(text or "")]
+        worst = sorted([*margins, *[m.bias] * toxicity.TOP], reverse=True)[: toxicity.TOP]
+        a, b, c = m.curve
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(a * worst[0] + b * sum(worst) / toxicity.TOP + c))), abs=2e-3)
+        assert got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_toxicity_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op8_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("toxic is not null").collect()
+    n = Counter((r.lang, r.toxic, r.predicted) for r in got)
+    for lang in ("en", "de", "fr", "es"):
+        assert n[lang, 0, 1] <= 0.03 * (n[lang, 0, 0] + n[lang, 0, 1]) and n[lang, 1, 1] >= 0.8 * (n[lang, 1, 0] + n[lang, 1, 1]), n
+    caught, flagged = sum(n[lang, 1, 1] for lang, _, _ in {(x[0], 0, 0) for x in n}), sum(v for (_, _, p), v in n.items() if p)
+    assert caught >= 0.95 * flagged and caught >= 0.9 * sum(v for (_, t, _), v in n.items() if t)
+
+
+def test_toxicity_in_odd_tables(odd, none):
     machine = toxicity.train_machine(["you are an idiot number%d again" % i for i in range(40)], ["all is well with thing%d today" % i for i in range(80)])
-    assert machine.probability(machine.margins(["i.d.i.o.t"])[0]) > 0.5 > machine.probability(machine.margins(["well"])[0])
+    judge = toxicity.Judge(machine)
+    gapped, spelled, hidden, well = judge.scores(["an i.d.i.o.t", "an i d i o t!", "an idixxot", "all is well"])
+    assert min(gapped, spelled, hidden) > 0.5 > well
     assert toxicity.score(odd, machine).count() == odd.count() and toxicity.drop_toxic(odd, machine).columns == odd.columns
     assert toxicity.score(odd, toxicity.train_machine([], [])).count() == odd.count() and toxicity.score(none, machine).count() == 0
 
 
-def test_several_doubtful_units_count_for_more_than_one():
-    machine = toxicity.Machine(["abcdef"])
+def test_several_doubtful_sentences_count_for_more_than_one():
+    machine = toxicity.Machine(["\x02abcdef\x03"], [])
     docs = [(1, [0.5, 0.4, 0.4])] * 40 + [(0, [0.5, -0.9])] * 40 + [(0, [-0.8])] * 40 + [(1, [2.0])] * 10
     machine.calibrate(np.array([machine.evidence(m) for _, m in docs]), np.array([bool(t) for t, _ in docs]))
-    judge = toxicity.Judge(machine)
-    judge.known = {"a": 0.5, "b": 0.4, "c": 0.4, "d": -0.9, "e": 2.0}
-    one, many, clear, padded = judge.scores(["a d", "a b c", "e", "a b c d"])
-    assert one < many == padded and many > 0.5 and clear > 0.5
+    one, many, padded = machine.probability(0.5, -0.9), machine.probability(0.5, 0.4, 0.4), machine.probability(0.5, 0.4, 0.4, -0.9)
+    assert one < 0.5 < many == padded
 
 
-def test_every_landmark_that_passes_the_bar_is_taken():
+def test_every_stem_that_passes_the_bar_is_taken():
     rng = random.Random(8)
     stems = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60)]
     toxic = [{f"plain{k}", *(stems[(5 * k + i) % 60] for i in range(5))} for k in range(240)]
-    chosen = toxicity.pick_landmarks(toxic, [{f"other{k}", f"word{k % 7}"} for k in range(480)])
-    assert all(any(c in s for c in chosen) for s in stems)
+    chosen, _ = toxicity.pick_landmarks(toxic, [{f"other{k}", f"word{k % 7}"} for k in range(480)])
+    assert all(any(c.strip("\x02\x03") in s for c in chosen) for s in stems)
 
 
 def test_archives(spark):
