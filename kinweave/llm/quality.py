@@ -1,11 +1,13 @@
 r"""Quality rules whose cutoffs are chosen so that few good documents are lost, with proof.
 
-Each rule rejects a document if its statistic is above a cutoff. For every stratum (language), rule and cutoff of a fixed
-grid, the labelled good documents of the stratum are a holdout: of n, k would be rejected. The cutoff is allowed if the
-exact binomial probability of at most k rejections among n, were the true rate `risk` / number of rules, is no more than
-`doubt` / (strata * rules * cutoffs): by Bonferroni's correction all allowed cutoffs hold at once with confidence
-1 - doubt, and together the rules reject at most `risk` of the good documents of each stratum. Of the allowed cutoffs the
-lowest is used; a rule without one, or a stratum without labels, rejects nothing.
+Three statistics of a text are held against cutoffs: a document that is above any of them is rejected. The cutoffs are set in
+STEPS of a fixed order, each of which tightens one rule: symbols first, then repeated lines and repeated words in turn. So
+a step rejects all that the steps before it do. For each stratum (language) the labelled good documents are a holdout: of n,
+a step rejects k. A step passes if the exact binomial probability of at most k rejections among n, were the true rate
+`risk`, is no more than `doubt` / strata. Steps are tested in their order up to the first that does not pass, which needs no
+correction within a stratum (a fixed sequence); Bonferroni's correction over the strata makes all hold at once: with
+confidence 1 - `doubt` the rules reject at most `risk` of the good documents of every stratum. The last step that passed is
+the stratum's; one without any rejects nothing. With four strata the first step needs 144 good labelled documents.
 
 Everything is DataFrame expressions. Null and empty texts have no words and fail the base; a null language is a stratum
 of its own; documents without a label only get verdicts. Of several labels for an id the lowest quality counts; null
@@ -17,20 +19,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.sources.catalog import dimension
+
 from . import common
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 RISK, DOUBT = 0.03, 0.05
-#: Statistics and the grids of their cutoffs.
+#: Statistics and the grids of their cutoffs, loosest first.
 RULES = {
-    "symbols": [0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0],
-    "dup_lines": [0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75],
-    "repeats": [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45],
+    "symbols": [2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1],
+    "dup_lines": [0.75, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
+    "repeats": [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1],
 }
+#: The fixed order in which cutoffs are tightened: (rule, cutoff).
+STEPS = [("symbols", c) for c in RULES["symbols"]] + [step for pair in zip(RULES["dup_lines"], RULES["repeats"], strict=True) for step in zip(("dup_lines", "repeats"), pair, strict=True)]
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -94,43 +100,46 @@ def at_most(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(terms, start, add, lambda a: a["sum"])
 
 
+def rejecting_step() -> Column:
+    """Number of the first step that rejects a document; len(STEPS) if none does."""
+    never = F.lit(len(STEPS))
+    firsts = []
+    for rule, value in statistics().items():
+        first = F
+        for j, (of, cutoff) in enumerate(STEPS):
+            if of == rule:
+                first = first.when(value > cutoff, j)
+        firsts.append(first.otherwise(never))
+    return F.least(*firsts)
+
+
 def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
-    """stratum and, for each rule, its lowest allowed cutoff (null: none). One row a stratum that has good labelled documents."""
+    """stratum and step, the last that passed (-1: none). One row a stratum that has good labelled documents."""
     good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = features.where(~base_failed()).join(good, "doc_id")
-    stats, rate = statistics(), risk / len(RULES)
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count(F.when(stats[r] > c, 1)).alias(f"{r}_{j}") for r, grid in RULES.items() for j, c in enumerate(grid)])
-    strata = counts.agg(F.count("*").alias("strata"))
-    # One row beside every stratum; the tests are then one row each.
-    tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{j}").alias("k")) for r, grid in RULES.items() for j, c in enumerate(grid)]))
-    each = counts.join(F.broadcast(strata)).select("stratum", "n", "strata", tests.alias("t")).select("stratum", "n", "strata", "t.*")
-    bound = F.lit(doubt) / (F.col("strata") * sum(map(len, RULES.values())))
-    allowed = F.when(F.col("k") <= rate * F.col("n"), at_most(F.col("k"), F.col("n"), rate) <= bound).otherwise(False)
-    return each.where(allowed).groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    held = features.where(~base_failed()).join(good, "doc_id").select("stratum", rejecting_step().alias("step"))
+    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("step") <= j) for j in range(len(STEPS))]).alias("ks"))
+    # One row a stratum, so one task numbers them.
+    counts = counts.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))
+    tests = counts.select("stratum", "n", "strata", F.posexplode("ks").alias("j", "k"))
+    passed = F.when(F.col("k") <= risk * F.col("n"), at_most(F.col("k"), F.col("n"), risk) <= F.lit(doubt) / F.col("strata")).otherwise(False)
+    return tests.groupBy("stratum").agg((F.coalesce(F.min(F.when(~passed, F.col("j"))), F.lit(len(STEPS))) - 1).alias("step"))
 
 
 def judge(features: DataFrame, cuts: DataFrame) -> DataFrame:
     """doc_id, the base columns, base_failed and kept."""
-    # One row a stratum: strata are the languages with enough labelled documents to allow a cutoff, some hundred bytes each.
-    stats = statistics()
-    rejects = [F.coalesce(stats[r] > F.col(f"cut_{r}"), F.lit(False)) for r in RULES]
-    bad = rejects[0] | rejects[1] | rejects[2]
-    return features.join(F.broadcast(cuts), "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
+    # One row a stratum with good labels, broadcast if those are few, as languages are.
+    rejected = F.coalesce(rejecting_step() <= F.col("step"), F.lit(False))
+    return features.join(dimension(cuts), "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     """All documents by rules whose cutoffs the labels allow."""
     features = common.written(base_features(common.table(spark, sf_dir, "documents")), "quality")
-    return judge(features, cutoffs(features, common.table(spark, sf_dir, "labels")))
-
-
-def _tests_sql() -> str:
-    stat = {"symbols": "n_symbols / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)"}
-    return " union all ".join(f"select stratum, n, strata, '{r}' as rule, {c}::double as cutoff, k_{r}_{j} as k from counts" for r, grid in RULES.items() for j, c in enumerate(grid)), ", ".join(f"count(*) filter ({stat[r]} > {c}) as k_{r}_{j}" for r, grid in RULES.items() for j, c in enumerate(grid)), stat
+    return judge(features, common.written(cutoffs(features, common.table(spark, sf_dir, "labels")), "cutoffs"))
 
 
-_EACH, _COUNTS, _STAT = _tests_sql()
-_RATE = RISK / len(RULES)
+_STAT = {"symbols": "n_symbols / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)"}
+_STEP = "least(" + ", ".join("case " + " ".join(f"when {_STAT[r]} > {c} then {j}" for j, (of, c) in enumerate(STEPS) if of == r) + f" else {len(STEPS)} end" for r in RULES) + ")"
 OP7_SQL = rf"""
 with split as (
   select doc_id, coalesce('=' || lang, '') as stratum, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
@@ -148,14 +157,17 @@ f as (
   from split s left join covered c on s.doc_id = c.doc_id),
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words as base_failed from f),
 good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
-counted as (select stratum, count(*) as n, {_COUNTS} from b join good using (doc_id) where not base_failed group by stratum),
-counts as (select *, count(*) over () as strata from counted),
-tests as ({_EACH}),
-allowed as (
-  select stratum, rule, min(cutoff) as cutoff from tests
-  where k <= {_RATE!r} * n and list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE!r}) + (n - i) * ln(1 - {_RATE!r})))) <= {DOUBT} / (strata * {sum(map(len, RULES.values()))})
-  group by stratum, rule)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not ({" or ".join(f"coalesce({_STAT[r]} > (select max(cutoff) from allowed a where a.stratum = b.stratum and rule = '{r}'), false)" for r in RULES)}) as kept
-from b
+stepped as (select *, {_STEP} as step from b),
+held as (select stratum, step from stepped join good using (doc_id) where not base_failed),
+strata as (select stratum, count(*) as n, count(*) over () as strata from held group by stratum),
+tests as (
+  select s.stratum, n, strata, j, (select count(*) from held h where h.stratum = s.stratum and h.step <= j) as k
+  from strata s, range({len(STEPS)}) steps(j)),
+failed as (
+  select stratum, min(j) as j from tests
+  where not (k <= {RISK} * n and list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) <= {DOUBT} / strata)
+  group by stratum),
+chosen as (select s.stratum, coalesce(f.j, {len(STEPS)}) - 1 as last from strata s left join failed f on s.stratum = f.stratum)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and step > coalesce(last, -1) as kept
+from stepped s left join chosen c on s.stratum = c.stratum
 """

@@ -241,19 +241,50 @@ def test_languages(spark, odd, none):
     assert language.predict(none, model).count() == 0
 
 
-def test_quality(spark, odd, none):
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_quality(spark, sf):
     import duckdb
 
     con = duckdb.connect()
     for t in ("documents", "labels"):
-        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.sql(quality.OP7_SQL)
-    got = quality.op7_quality_rules(spark, SF)
-    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[want.columns.index(c)] for c in got.columns) for r in want.fetchall())
+    got = quality.op7_quality_rules(spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted(tuple(r[want.columns.index(c)] for c in got[0].__fields__) for r in want.fetchall())
+    acted = sum(not r.kept and not r.base_failed for r in got)
+    assert acted > 20 if sf != SF else not acted  # 54 good labels of one language are too few there
+
+
+def test_quality_cutoffs_keep_their_promise(spark):
+    """Steps as a plain version picks them, from good documents that the rules would reject in known shares."""
+    rng = random.Random(14)
+    share = {"=a": 0.0, "=b": 0.01, "=c": 0.2, "": 0.0}
+    rows = [(k, lang, 100, 500, 300 if rng.random() < share[lang] else 0, rng.randrange(3), rng.randrange(30), 20) for k, lang in enumerate(["=a"] * 400 + ["=b"] * 2000 + ["=c"] * 500 + [""] * 100)]
+    features = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows] + [(rows[0][0], 1)], "doc_id long, quality int")
+    got = {r.stratum: r.step for r in quality.cutoffs(features, labels).collect()}
+    for lang in share:
+        docs = [r for r in rows if r[1] == lang]
+        last = -1
+        for j in range(len(quality.STEPS)):
+            cut = {}
+            cut.update(quality.STEPS[: j + 1])
+            k = sum(any((r[4] / r[2], r[5] / r[7], r[6] / r[2])[i] > cut[x] for i, x in enumerate(quality.RULES) if x in cut) for r in docs)
+            if k > quality.RISK * len(docs) or sum(math.comb(len(docs), i) * quality.RISK**i * (1 - quality.RISK) ** (len(docs) - i) for i in range(k + 1)) > quality.DOUBT / 4:
+                break
+            last = j
+        assert got[lang] == last
+    assert got["=a"] > 7 and got["=b"] >= 7 and got["=c"] == -1 == got[""]
+    kept = quality.judge(features, quality.cutoffs(features, labels)).where("not kept").count()
+    assert 0 < kept <= quality.RISK * 2400
+
+
+def test_quality_in_odd_tables(spark, odd, none):
     features = common.written(quality.base_features(odd), "odd")
     labels = spark.createDataFrame([(i % 14, 1) for i in range(40)] + [(1, None), (None, 1)], "doc_id long, quality int")
     assert quality.judge(features, quality.cutoffs(features, labels)).count() == odd.count()
     assert quality.base_features(none).count() == 0
+    assert quality.judge(features, quality.cutoffs(features, labels.limit(0))).where("kept = base_failed").count() == 0
     n, k, p = 400, 7, 0.03
     exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
     assert spark.range(1).select(quality.at_most(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0] == pytest.approx(exact)
@@ -321,9 +352,11 @@ def test_toxicity_by_language(spark):
 
 
 def test_toxicity_in_odd_tables(odd, none):
-    machine = toxicity.train_machine(["you are an idiot number%d again" % i for i in range(40)], ["all is well with thing%d today" % i for i in range(80)])
+    rng = random.Random(13)
+    some = lambda: passage(rng.random(), 8)
+    machine = toxicity.train_machine([f"{some()} idiot {some()}" for _ in range(60)], [some() for _ in range(120)])
     judge = toxicity.Judge(machine)
-    gapped, spelled, hidden, well = judge.scores(["an i.d.i.o.t", "an i d i o t!", "an idixxot", "all is well"])
+    gapped, spelled, hidden, well = judge.scores([f"{some()} {x} {some()}" for x in ("i.d.i.o.t", "i d i o t!", "idixot", "dot")])
     assert min(gapped, spelled, hidden) > 0.5 > well
     assert toxicity.score(odd, machine).count() == odd.count() and toxicity.drop_toxic(odd, machine).columns == odd.columns
     assert toxicity.score(odd, toxicity.train_machine([], [])).count() == odd.count() and toxicity.score(none, machine).count() == 0
