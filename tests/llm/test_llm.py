@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -43,9 +44,73 @@ def test_sniffing_confirms_lengths_and_carves(spark):
     assert [bytes(r.object) for r in media.carve_media(df, "id").collect()] == [png()]
 
 
-def test_texts_survive_their_media_form(odd, none):
+def crc(data, width, poly):
+    out = 0
+    for bit in (x >> k & 1 for x in data for k in range(7, -1, -1)):
+        top = out >> (width - 1) & 1
+        out = (out << 1) & (1 << width) - 1
+        out ^= poly if top ^ bit else 0
+    return out
+
+
+def flac(frames=3):
+    """Frames of 16 equal samples."""
+    out = b"fLaC" + b"\x80\0\0\x22" + struct.pack(">HH", 16, 16) + bytes(6) + bytes.fromhex("1f4000f0000000") + bytes([16 * frames]) + bytes(16)
+    for n in range(frames):
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, n, 15])
+        frame = head + bytes([crc(head, 8, 7)]) + bytes([0, 50 + n])
+        out += frame + crc(frame, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
+def pdf():
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    return body + b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % len(body)
+
+
+def bmp():
+    return b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"abc\0"
+
+
+def tiff():
+    entries = [(256, 3, 1, 1), (257, 3, 1, 1), (273, 4, 1, 8), (279, 4, 1, 5)]
+    return b"II*\0" + struct.pack("<I", 14) + b"pixel\0" + struct.pack("<H", 4) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+
+
+def matroska():
+    return b"\x1aE\xdf\xa3" + b"\x84head" + b"\x18S\x80g" + b"\x40\x07segment"
+
+
+def test_lengths_of_more_formats():
+    auto = media._automaton()
+    box = lambda kind, data: struct.pack(">I4s", 8 + len(data), kind) + data
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"!\xf9\x04abcd\0" + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02ab\0" + b";"
+    jpeg = b"\xff\xd8" + b"\xff\xc0\0\x03a" + b"\xff\xda\0\x03b" + b"xy\xff\0z\xff\xd0w" + b"\xff\xd9"
+    page = lambda flag: b"OggS\0" + bytes([flag]) + bytes(20) + b"\x01\x04abcd"
+    cases = {"image/gif": gif, "image/jpeg": jpeg, "audio/ogg": page(2) + page(0) + page(4), "video/mp4": box(b"ftyp", b"isom") + box(b"moov", b"x"), "audio/flac": flac(), "application/pdf": pdf(), "image/bmp": bmp(), "image/tiff": tiff(), "video/x-matroska": matroska()}
+    for kind, data in cases.items():
+        assert media.sniff(data, auto)[0] == (0, len(data), kind), kind
+        assert (7, 7 + len(data), kind) in media.sniff(b"-------" + data + b"-----", auto), kind
+        assert not any(x[2] == kind and x[0] == 0 for x in media.sniff(data[:-1], auto)), kind
+    assert media.sniff(b"%PDF-startxref%%EOF", auto) == [] == media.sniff(b"%PDF-1 startxref 3 %%EOF", auto)
+    two = pdf() + pdf()
+    assert [x[:2] for x in media.sniff(two, auto)] == [(0, len(pdf())), (len(pdf()), len(two))]
+
+
+def test_long_runs_of_magic_numbers_are_walked_once():
+    auto = media._automaton()
+    runs = [m for m, _, _ in media.MAGIC] + [b"\0\0\0\x08ftyp", b"OggS\0\x02" + bytes(21), b"RIFF\x10\0\0\0WAVEfmt ", b"PK\x03\x04" + bytes(26), b"%PDF-1 startxref 3 %%EOF", b"GIF89a" + bytes(7) + b"!\xf9\x04abcd\0", b"\xff\xd8\xff\xe0\0\x04ab", b"fLaC\x00\x00\x00\x22" + bytes(34)]
+    for run in runs:
+        data = (run * (1_000_000 // len(run) + 1))[:1_000_000]
+        began = time.monotonic()
+        media.sniff(data, auto)
+        assert time.monotonic() - began < 10, run
+
+
+def test_texts_survive_their_media_form(odd, none, tmp_path):
     got = media.read_media(media.encode_media(odd)).collect()
     assert len(got) == odd.count() and media.read_media(media.encode_media(none)).count() == 0
+    assert Counter(r.doc_id for r in media.op1_media_sniff(odd.sparkSession, folder(odd.sparkSession, tmp_path, odd)).collect()) == Counter(r.doc_id for r in got)
     want = Counter()
     for r in odd.collect():
         raw = (r.text or "").encode()
