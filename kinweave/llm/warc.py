@@ -1,10 +1,11 @@
 """Legacy archives: ARC files (versions 1 and 2) read by their declared lengths and turned into WARC 1.1 records.
 
 A converted record gets an identifier derived from its page id (a version 8 UUID that holds the id, so that it can be
-referred to before the other record is seen), a WARC-Date from the 14-digit ARC date, a type (warcinfo, response,
-resource, or revisit where an equal payload is kept elsewhere) and SHA-1 digests of block and payload.
+referred to before the other record is seen), a WARC-Date from the 14-digit ARC date, a type (response, resource, or revisit
+where an equal payload is kept elsewhere) and SHA-1 digests of block and payload. An archive begins with a warcinfo record made
+of the ARC file's version block. Archives hold some MOST bytes, and a page more at most.
 
-Null html counts as empty, null url as urn:page:<id>. A null page id gets a version 5 UUID; it is never referred to unless
+Null html counts as empty, null url as urn:page:<id>; spaces and controls in a url are escaped. A null page id gets a version 5 UUID; it is never referred to unless
 all ids of its payload are null, and then all are responses. Rows that repeat the smallest id of a payload are all
 responses. Truncated or malformed archives raise ValueError. Empty tables give empty results; extra columns are ignored.
 """
@@ -12,7 +13,9 @@ responses. Truncated or malformed archives raise ValueError. Empty tables give e
 from __future__ import annotations
 
 import base64
+import calendar
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +31,8 @@ ARC_FIELDS = {
 }
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "20240101000000"
+#: Bytes of payload after which an archive is full.
+MOST = 32 << 20
 #: A group of equal payloads is met in as many parts as this; groups themselves are copied to each part.
 SALTS = 32
 
@@ -53,6 +58,8 @@ def page_of(record: str) -> int | None:
 
 def arc_archive(records: list[tuple[str, str, str, bytes]], version: int, name: str = "pages.arc") -> bytes:
     """An ARC file of (url, date, content type, content). Fields hold no spaces."""
+    # The version block has the date of the first record.
+    opened = records[0][1] if records else EPOCH
     fields = " ".join({1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"), 2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length")}[version])
     note = f"{version} 0 Kinweave\n{fields}\n".encode()
 
@@ -60,7 +67,7 @@ def arc_archive(records: list[tuple[str, str, str, bytes]], version: int, name:
         middle = "" if version == 1 else f" 200 - - {at} {name}"
         return f"{url} 0.0.0.0 {date} {kind}{middle} {size}\n".encode()
 
-    out = [head(f"filedesc://{name}", EPOCH, "text/plain", len(note), 0) + note]
+    out = [head(f"filedesc://{name}", opened, "text/plain", len(note), 0) + note]
     at = len(out[0])
     for url, date, kind, content in records:
         out.append(b"\n" + head(url, date, kind, len(content), at) + content)
@@ -68,19 +75,24 @@ def arc_archive(records: list[tuple[str, str, str, bytes]], version: int, name:
     return b"".join(out)
 
 
-def read_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file after its version block: the fields of its version's header line, and content."""
-    line, _, rest = data.partition(b"\n")
-    opening = line.decode("utf-8", "surrogateescape").split(" ")
+def version_block(data: bytes) -> tuple[dict, int]:
+    """name, date, version and note of an ARC file's first record, and where it ends."""
+    stop = data.find(b"\n")
+    opening = data[: max(stop, 0)].decode("utf-8", "surrogateescape").split(" ")
     if not opening[0].startswith("filedesc:") or not opening[-1].isdigit():
         raise ValueError("an ARC file begins with a filedesc record")
-    at = len(line) + 1
-    note = data[at : at + int(opening[-1])]
+    end = stop + 1 + int(opening[-1])
+    note = data[stop + 1 : end]
     version = int(note.split(b" ", 1)[0])
     if version not in ARC_FIELDS:
         raise ValueError(f"unknown ARC version {version}")
-    names = ARC_FIELDS[version]
-    at += len(note)
+    return {"name": opening[0].removeprefix("filedesc:").lstrip("/"), "date": opening[2], "version": version, "note": note}, end
+
+
+def read_arc(data: bytes) -> Iterator[dict]:
+    """Records of an ARC file after its version block: the fields of its version's header line, and content."""
+    block, at = version_block(data)
+    names = ARC_FIELDS[block["version"]]
     while at < len(data):
         if data[at : at + 1] == b"\n":
             at += 1
@@ -108,11 +120,31 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
 
 
+def warc_date(date: str) -> str:
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
+def to_warcinfo(arc: bytes) -> bytes:
+    """The warcinfo record of an ARC file, from its version block."""
+    of, _ = version_block(arc)
+    block = f"software: kinweave\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC version {of['version']}\r\n".encode()
+    seed = f"{of['name']} {of['date']} {hashlib.sha1(arc).hexdigest()}"
+    return warc_record(
+        [
+            ("WARC-Type", "warcinfo"),
+            ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>"),
+            ("WARC-Date", warc_date(of["date"])),
+            ("WARC-Filename", of["name"].removesuffix(".arc") + ".warc"),
+            ("WARC-Block-Digest", f"sha1:{base32(hashlib.sha1(block).digest())}"),
+            ("Content-Type", "application/warc-fields"),
+        ],
+        block,
+    )
+
+
 def to_warc(record: dict, page_id: int | None, first_id: int | None) -> bytes:
     """The WARC record of an ARC record. first_id: the page whose response has the same payload; page_id itself or null for none."""
-    d = record["date"]
-    when = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    http = record["url"].startswith(("http:", "https:", "urn:"))
+    http = record["content"].startswith(b"HTTP/1.")
     _, head, body = http_parts(record["content"]) if http else ({}, b"", record["content"])
     digest = base32(hashlib.sha1(body).digest())
     again = first_id is not None and first_id != page_id
@@ -120,7 +152,7 @@ def to_warc(record: dict, page_id: int | None, first_id: int | None) -> bytes:
     fields = [
         ("WARC-Type", "revisit" if again else "response" if http else "resource"),
         ("WARC-Record-ID", record_id(page_id, record["url"], digest)),
-        ("WARC-Date", when),
+        ("WARC-Date", warc_date(record["date"])),
         ("WARC-Target-URI", record["url"]),
         ("WARC-IP-Address", record["ip"]),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -160,22 +192,35 @@ def first_ids(pages: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     return rows.join(groups, ["digest", "salt"], "left").select("page_id", "url", "raw", "first_id")
 
 
-def warc_archives(pages: DataFrame) -> DataFrame:
-    """archive (binary): for each batch of pages an ARC file, converted. Pages as first_ids() gives them; versions alternate."""
+def arc_date(page_id: int | None) -> str:
+    """A date for a page that comes without one: a second for each id, from EPOCH on, over some three years."""
+    return time.strftime("%Y%m%d%H%M%S", time.gmtime(calendar.timegm(time.strptime(EPOCH, "%Y%m%d%H%M%S")) + (page_id or 0) % 100_000_000))
+
+
+def warc_archives(pages: DataFrame, most: int = MOST) -> DataFrame:
+    """archive (binary): ARC files of a batch of pages, of some `most` bytes each, converted. Pages as first_ids() gives them; versions alternate."""
 
     def make():
         turn = [0]
 
-        def step(rows):
+        def convert(records, ids, firsts):
             turn[0] += 1
-            records = []
-            for i, url, raw in zip(rows["page_id"], rows["url"], rows["raw"], strict=True):
+            arc = arc_archive(records, turn[0] % 2 + 1)
+            return b"".join([to_warcinfo(arc), *(to_warc(r, i, f) for r, i, f in zip(read_arc(arc), ids, firsts, strict=True))])
+
+        def step(rows):
+            out, held, size = [], [], 0
+            for i, url, raw, first in zip(rows["page_id"], rows["url"], rows["raw"], rows["first_id"], strict=True):
                 name = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url) if url else f"urn:page:{i}"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(raw)}\r\n\r\n".encode()
-                records.append((name if name.startswith(("http:", "https:")) else f"urn:page:{i}", EPOCH, "text/html", head + raw))
-            arc = arc_archive(records, turn[0] % 2 + 1)
-            made = [to_warc(r, i, f) for r, i, f in zip(read_arc(arc), rows["page_id"], rows["first_id"], strict=True)]
-            return {"archive": [b"".join(made)]}
+                held.append(((name, arc_date(i), "text/html", head + raw), i, first))
+                size += len(raw)
+                if size > most:
+                    out.append(convert(*zip(*held, strict=True)))
+                    held, size = [], 0
+            if held:
+                out.append(convert(*zip(*held, strict=True)))
+            return {"archive": out}
 
         return step
 
@@ -183,13 +228,15 @@ def warc_archives(pages: DataFrame) -> DataFrame:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """A row for each record of WARC archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, warc_date."""
+    """A row for each response or revisit of WARC archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url, warc_date."""
 
     def make():
         def step(rows):
             out: dict[str, list] = {n: [] for n in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "warc_date")}
             for data in rows["archive"]:
                 for fields, block in read_warc(data):
+                    if fields["warc-type"] == "warcinfo":
+                        continue
                     http, _, body = http_parts(block)
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     if fields["warc-type"] == "response" and (int(http["content-length"]) != len(body) or base32(hashlib.sha1(body).digest()) != digest):

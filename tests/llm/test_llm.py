@@ -461,6 +461,11 @@ def test_archives(spark):
     got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.warc_archives(warc.first_ids(pages))).collect())
     assert got == Counter([(1, 1, "response", None), (2, 1, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (None, 1, "revisit", 5), (5, 1, "response", None), (1, 1, "response", None)])
     assert warc.read_archives(warc.warc_archives(warc.first_ids(pages.limit(0)))).count() == 0
+    made = [bytes(r.archive) for r in warc.warc_archives(warc.first_ids(pages).coalesce(1), 2).collect()]
+    assert len(made) > 1 and all(next(warc.read_warc(x))[0]["warc-type"] == "warcinfo" for x in made)
+    fields = [f for x in made for f, _ in warc.read_warc(x) if f["warc-type"] != "warcinfo"]
+    assert Counter(f["warc-target-uri"] for f in fields) == Counter(["http://x/a%20b", "urn:page:2", "ftp://x", "http://y", "http://z", "http://z", "http://x/a%20b"])
+    assert {f["warc-date"] for f in fields if f["warc-target-uri"] == "ftp://x"} == {"2024-01-01T00:00:03Z"} and len({f["warc-date"] for f in fields}) == 6
 
 
 def test_mixing(spark, odd, none):
