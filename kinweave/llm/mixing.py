@@ -12,7 +12,8 @@ Order within a source: md5 of the id, then the id. Running sums go by tops of th
 within a block, so that no task sees a whole source, nor all its blocks. Only sources, and a source's tops, meet in one task.
 
 Null texts have size 0. Sources of size 0 have target 0 and nothing is taken. Null ids are allowed and sort first; equal
-ids that repeat are laid one after the other. Empty tables give empty results. Extra columns stay; clashing names are replaced.
+ids that repeat are laid one after the other, shorter texts first. Empty tables give empty results. Of extra columns those in
+`keep` stay, under names that clash with none.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = blocks.withColumn("blocks_ahead", F.coalesce(F.sum("in_block").over(then), F.lit(0))).join(tops, ["key", "top"])
     blocks = blocks.select("key", "block", (F.col("tops_ahead") + F.col("blocks_ahead")).alias("ahead"))
     blocks = blocks.join(of.select("key", "source_size", "rank", "target"), "key")
-    before = Window.partitionBy("key", "block").orderBy("turn", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key", "block").orderBy("turn", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).join(blocks, ["key", "block"])
     at, wanted = F.col("ahead") + F.col("before"), F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(wanted / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
@@ -112,7 +113,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def op10_mix_curriculum(spark, sf_dir: str) -> DataFrame:
     """All documents with their share of the mix, in training order."""
     mixed = mix(common.table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    ordered = mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -144,7 +146,7 @@ rest as (select max(weights) as weights, arg_max(left_over, weights) as left_ove
 aims as (select j.source, j.source_size, j.rank, case when is_full then most else weight * r.left_over / r.weights end as target from judged j left join rest r on true),
 placed as (
   select s.*, a.source_size, a.rank, a.target, cast(round(a.target) as bigint) as wanted,
-    cast(coalesce(sum(size) over (partition by s.source order by turn, doc_id nulls first rows between unbounded preceding and 1 preceding), 0) as bigint) as ahead
+    cast(coalesce(sum(size) over (partition by s.source order by turn, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as bigint) as ahead
   from sized s join aims a on s.source is not distinct from a.source),
 passed as (select *, case when source_size > 0 then wanted // source_size else 0 end as passes from placed),
 given as (select *, passes * size + greatest(0, least(wanted - passes * source_size - ahead, size)) as taken, ahead / target as u from passed)
