@@ -421,8 +421,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     return [t for _, t, toxic in rows if toxic], [t for _, t, toxic in rows if not toxic]
 
 
+def judge_of(machine: Machine) -> Judge:
+    """The machine's judge. A worker has one machine of a broadcast, so tasks that it runs one after the other share what is known."""
+    if not hasattr(machine, "judge"):
+        machine.judge = Judge(machine)
+    return machine.judge
+
+
 class Judge:
-    """Scores of texts by one machine; what units pull is kept, up to a bound. Made once a task."""
+    """Scores of texts by one machine; what units pull is kept, up to a bound."""
 
     def __init__(self, machine: Machine):
         self.machine, self.known, self.nothing = machine, {}, machine.probability()
@@ -452,7 +459,7 @@ def drop_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
-        judge = Judge(shared.value)
+        judge = judge_of(shared.value)
         for batch in batches:
             clean = [x < 0.5 for x in judge.scores(batch.column(text_col).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
@@ -468,7 +475,7 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
-        judge = Judge(shared.value)
+        judge = judge_of(shared.value)
 
         def step(batch):
             p = judge.scores(batch["text"])
