@@ -27,6 +27,7 @@ held out; extra columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -41,7 +42,7 @@ from . import common
 
 ORDER, DECAY = 4, 0.7
 #: Least kernel that counts, and the share of a landmark's characters that a unit must hold in order.
-NEAR, HELD = 0.2, 0.75
+NEAR, HELD = 0.2, 0.86
 #: Marks for the two ends of a word.
 LEFT, RIGHT = "\x02", "\x03"
 #: Characters of a window of a long unit, and from one window to the next; two overlap by twice the longest landmark.
@@ -57,7 +58,7 @@ KEPT = 400_000
 TOP = 2
 #: Weight of either class in training.
 COST = 10_000.0
-SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}[.,;:!?]*(?!\S)")
 END = re.compile(r"(?<=[^\s.!?]{2}[.!?])\s+|\n+")
 
 
@@ -118,14 +119,21 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
+@functools.cache
+def _letter_masks(right: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of the strings, and for each letter and string a bit at each of its places; none in the last row."""
+    letters = sorted({c for s in right for c in s})
+    masks = np.zeros((len(letters) + 1, len(right)), np.uint32)
+    for k, s in enumerate(right):
+        for i, c in enumerate(s):
+            masks[letters.index(c), k] |= np.uint32(1 << i)
+    return np.array([ord(c) for c in letters], np.int32), masks
+
+
 def _shared(left: np.ndarray, right: list[str]) -> np.ndarray:
     """Length of the longest common subsequence of each row of left with each string, 32 characters at most: one bit a character."""
     v = np.full((left.shape[0], len(right)), 0xFFFFFFFF, np.uint32)
-    letters = np.array(sorted({ord(c) for s in right for c in s}), np.int32)
-    masks = np.zeros((letters.size + 1, len(right)), np.uint32)
-    for k, s in enumerate(right):
-        for i, c in enumerate(s):
-            masks[np.searchsorted(letters, ord(c)), k] |= np.uint32(1 << i)
+    letters, masks = _letter_masks(tuple(right))
     at = np.minimum(np.searchsorted(letters, left), letters.size - 1)
     at = np.where(letters[at] == left, at, letters.size)
     for x in range(left.shape[1]):
@@ -163,12 +171,17 @@ def own_kernel(a: list[str]) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _roots(strings: tuple[str, ...]) -> np.ndarray:
+    return np.sqrt(own_kernel(list(strings)))
+
+
 def near(strings: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernels of all strings with all landmarks; 0 where too few characters are shared or the kernel is under NEAR."""
     out = np.zeros((len(strings), len(landmarks)))
     if not landmarks:
         return out
-    own = np.sqrt(own_kernel(landmarks))
+    own = _roots(tuple(landmarks))
     least = np.array([math.ceil(HELD * len(s)) for s in landmarks])
     lengths = np.array([len(s) for s in strings])
     right = _codes(landmarks, max(map(len, landmarks)), -2)
@@ -441,8 +454,8 @@ class Judge:
         if len(known) + len(missing) > KEPT:
             known.clear()
             missing = sorted(set().union(*docs))
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
+        for i in range(0, len(missing), 16384):
+            part = missing[i : i + 16384]
             known.update(dict.fromkeys(part, 0.0))
             known.update(m.pulls(part))
         out = []
