@@ -12,22 +12,36 @@ from pyspark.sql import functions as F
 
 def jaro_winkler(a: str, b: str) -> float:
     """Jaro similarity; above 0.7 raised by a tenth of what is missing for each of up to four equal first letters."""
+    return _jaro_winkler(a, b, _places(b)) if a else float(a == b)
+
+
+def _places(s: str) -> dict[str, int]:
+    """For each character a bit at each of its places."""
+    at: dict[str, int] = {}
+    for j, c in enumerate(s):
+        at[c] = at.get(c, 0) | 1 << j
+    return at
+
+
+def _jaro_winkler(a: str, b: str, at: dict[str, int]) -> float:
+    """With the places of b's characters, of which those beyond its end do not count. Bits stand for places of b that are still free."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
+    free = (1 << len(b)) - 1
     mine = []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                mine.append(c)
-                break
+        found = at.get(c, 0) & free & (1 << i + reach + 1) - 1
+        if i > reach:
+            found &= -1 << i - reach
+        if found:
+            free ^= found & -found
+            mine.append(c)
     if not mine:
         return 0.0
-    theirs = [c for c, f in zip(b, free, strict=True) if not f]
+    theirs = [c for j, c in enumerate(b) if not free >> j & 1]
     m, swapped = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
     same = 0
@@ -61,14 +75,24 @@ def damerau_similarity(a: str, b: str) -> float:
     return 1 - damerau_table(a, b)[-1][-1] / most if most else 1.0
 
 
-def lcs_table(a: str, b: str) -> list[list[int]]:
-    t = [[0] * (len(b) + 1)]
+def lcs_rows(a: str, b: str) -> list[int]:
+    """For each prefix of a a number whose zero bits, counted up to j, are the length of its longest common subsequence with b[:j]."""
+    at, v = _places(b), (1 << len(b)) - 1
+    rows = [v]
     for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(t[-1][j] + 1 if x == y else max(t[-1][j + 1], row[j]))
-        t.append(row)
-    return t
+        u = v & at.get(x, 0)
+        v = (v + u | v - u) & (1 << len(b)) - 1
+        rows.append(v)
+    return rows
+
+
+def lcs_length(a: str, b: str) -> int:
+    return len(b) - lcs_rows(a, b)[-1].bit_count()
+
+
+def indel_similarity(a: str, b: str) -> float:
+    """Twice the common subsequence over both lengths; 1 for two empty strings."""
+    return 2 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 def _only(keep: Callable[[str], bool]) -> Callable[[str], str]:
@@ -102,12 +126,13 @@ def prefix_mean(of: Callable[[str, str], Callable[[int, int], float]]) -> Callab
 
 
 def _jw(a: str, b: str):
-    return lambda i, j: jaro_winkler(a[:i], b[:j])
+    at = _places(b)
+    return lambda i, j: _jaro_winkler(a[:i], b[:j], at)
 
 
 def _indel(a: str, b: str):
-    t = lcs_table(a, b)
-    return lambda i, j: 2 * t[i][j] / (i + j) if i + j else 1.0
+    rows = lcs_rows(a, b)
+    return lambda i, j: 2 * (j - (rows[i] & (1 << j) - 1).bit_count()) / (i + j) if i + j else 1.0
 
 
 def _damerau(a: str, b: str):
@@ -214,6 +239,9 @@ def pair_function(name: str, a: Column, b: Column) -> Column:
     return {
         "jw_alpha": lambda: _pairwise("jw_alpha", jaro_winkler, alpha),
         "jw_alnum": lambda: _pairwise("jw_alnum", jaro_winkler, alnum),
+        "lcs": lambda: _pairwise("lcs", lcs_length),
+        "indel_alpha": lambda: _pairwise("indel_alpha", indel_similarity, alpha),
+        "indel_alnum": lambda: _pairwise("indel_alnum", indel_similarity, alnum),
         "damerau_alpha": lambda: _pairwise("damerau_alpha", damerau_similarity, alpha),
         "damerau_alnum": lambda: _pairwise("damerau_alnum", damerau_similarity, alnum),
         "gen_jw": lambda: _pairwise("gen_jw", prefix_mean(_jw)),

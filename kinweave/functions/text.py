@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinweave.functions import kernels as K
+
 TEN_15 = 10**15
 
 
@@ -88,27 +90,13 @@ def levenshtein(a: Column, b: Column, clean=alpha) -> Column:
 
 
 def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: rows of the table as arrays, one step a character of a."""
-    n = F.length(b)
-    columns = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    letters = F.when(F.length(a) > 0, F.split(a, "")).otherwise(F.array().cast("array<string>"))
-
-    def row(previous: Column, c: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            up, left = F.get(previous, j), F.get(done, j - 1)
-            here = F.when(F.substr(b, j, F.lit(1)) == c, F.get(previous, j - 1) + 1).otherwise(F.greatest(up, left))
-            return F.array_append(done, here)
-
-        return F.aggregate(columns, F.array(F.lit(0)), cell)
-
-    return F.coalesce(F.get(F.aggregate(letters, F.array_repeat(F.lit(0), n + 1), row), n), F.lit(0))
+    """Length of the longest common subsequence."""
+    return K.pair_function("lcs", a, b).cast("int")
 
 
 def indel_ratio(a: Column, b: Column, clean=alpha) -> Column:
     """Twice the common subsequence over both lengths; 1 for two empty strings."""
-    x, y = clean(a), clean(b)
-    total = F.length(x) + F.length(y)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2 * lcs(x, y) / total)
+    return K.pair_function({alpha: "indel_alpha", alnum: "indel_alnum"}[clean], a, b)
 
 
 def soundex(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
+from kinweave.sources.catalog import dimension
 
 
 @dataclass(frozen=True)
@@ -34,17 +35,13 @@ class PiiColumns:
         return df.withColumnsRenamed({v: k for k, v in vars(self).items() if isinstance(v, str) and v != k and v in df.columns})
 
 
-# Toll-free area codes and values that stand for no name, e-mail or address.
+# Toll-free area codes, values that stand for no name, e-mail or address, and the form of an e-mail address.
 TOLL_FREE = ["800", "888", "877", "866", "855", "844"]
 NO_NAME = ["valued customer", "customer", "valued", "anycart", "albertsons", "safeway"]
 NO_FIRST_OR_LAST = ["test", "notgiven", "noname", *NO_NAME, "na", "n/a", "", " "]
 NO_EMAIL_USER = ["n/a", " ", "", "na", "n a", "no", "none", "noemail", "email", "albertsons", "safeway", "invalid"]
 NO_ADDRESS = ["n/a", " ", "", "na", "n a", "no", "none", "albertsons", "safeway", "invalid"]
-ATOM = r"[\-!#-'*+/-9=?A-Z\^-~]+"
-EMAIL = (
-    rf"""^(?:{ATOM}(?:\.{ATOM})*|"(?:[\]!#-\[\^-~ \t]|(?:\\[\t -~]))+")"""
-    rf"""@(?:{ATOM}(?:\.{ATOM})*|\[[\t -Z\^-~]*\])\z"""
-)
+EMAIL = r'''^(?:[\-!#-'*+/-9=?A-Z\^-~]+(?:\.[\-!#-'*+/-9=?A-Z\^-~]+)*|"(?:[\]!#-\[\^-~ \t]|(?:\\[\t -~]))+")@(?:[\-!#-'*+/-9=?A-Z\^-~]+(?:\.[\-!#-'*+/-9=?A-Z\^-~]+)*|\[[\t -Z\^-~]*\])\z'''
 
 
 def lower_columns(df: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
@@ -56,14 +53,14 @@ def lower_columns(df: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
 def phone_validity(df: DataFrame, cols: PiiColumns = PiiColumns(), area_codes: DataFrame | None = None, normalize: bool = False) -> DataFrame:
     """is_valid_phone_number; the phone is emptied where it is not valid.
 
-    Valid: ten digits of the North American form, no toll-free area code and, if area_codes (column area_code, a few
-    hundred rows) are given, one of those.
+    Valid: ten digits of the North American form, no toll-free area code and, if area_codes (column area_code) are given, one
+    of those. They are broadcast if they are as few as area codes are.
     """
     digits = T.numeric(F.col(cols.phone))
     ok = (F.length(cols.phone) >= 10) & F.regexp_like(digits, F.lit(r"^[2-9][0-9]{2}[2-9][0-9]{6}\z")) & ~F.substring(digits, 1, 3).isin(TOLL_FREE)
     if area_codes is not None:
         known = area_codes.select(F.col("area_code").cast("string").alias("_area")).distinct().withColumn("_known", F.lit(True))
-        df = df.join(F.broadcast(known), F.substring(digits, 1, 3) == F.col("_area"), "left")
+        df = df.join(dimension(known), F.substring(digits, 1, 3) == F.col("_area"), "left")
         ok = ok & F.coalesce("_known", F.lit(False))
     ok = F.coalesce(ok, F.lit(False))
     kept = digits if normalize else F.col(cols.phone)

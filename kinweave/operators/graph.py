@@ -21,7 +21,7 @@ MAX_ROUNDS = 60
 def _known(edges: DataFrame, end: str) -> Column:
     """Not null and, if it is a string, not blank: a blank card number would join strangers."""
     there = F.col(end).isNotNull()
-    return there & (F.trim(end) != "") if isinstance(edges.schema[end].dataType, T.StringType) else there
+    return there & (F.col(end) != "") if isinstance(edges.schema[end].dataType, T.StringType) else there
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

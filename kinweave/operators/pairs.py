@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
+from kinweave.sources.catalog import empty
 from kinweave.sources.shared import written
 
 PERSON_CAP, HOUSEHOLD_CAP = 10_000, 10_000
@@ -43,27 +44,61 @@ def record_pairs(pii: DataFrame, key: str, cap: int = PERSON_CAP, roles: tuple[s
     return pairs.select(F.concat("card_nbr_1", "card_nbr_2").alias("c1c2"), *[f"{r}_{i}" for r in roles for i in (1, 2)])
 
 
-def union_pairs(parts: list[DataFrame], distinct: bool = False) -> DataFrame:
-    """All pairs of all keys, one behind the other; distinct drops equal rows."""
-    out = reduce(DataFrame.unionByName, parts)
+def _parts(parts: list[DataFrame | str] | DataFrame | str) -> list[DataFrame]:
+    """One table or several, as frames or by name."""
+    parts = parts if isinstance(parts, list) else [parts]
+    return [SparkSession.active().table(p) if isinstance(p, str) else p for p in parts]
+
+
+def union_pairs(parts: list[DataFrame | str] | DataFrame | str, distinct: bool = False) -> DataFrame:
+    """All pairs of all keys, one behind the other; distinct drops equal rows. No tables give no rows of two card columns."""
+    found = _parts(parts)
+    out = reduce(DataFrame.unionByName, found) if found else empty(SparkSession.active(), "card_nbr_1", "card_nbr_2")
     return out.distinct() if distinct else out
 
 
-def device_pairs(devices: DataFrame, pii: DataFrame, cap: int | None = None) -> DataFrame:
-    """c1c2, mobile_device_id, and card, names and e-mail of both cards of each pair that shares a device."""
+def device_rows(devices: DataFrame, pii: DataFrame) -> DataFrame:
+    """card_nbr, mobile_device_id, and names and e-mail of the card, of devices that several cards use.
+
+    Cards keep their row where the contact data has none of them, unless there is a first name to know: those without one go.
+    """
     wanted = [c for c in ("first_nm", "last_nm", "email_address") if c in pii.columns]
     if not ({"first_nm", "last_nm"} <= set(wanted) or "email_address" in wanted):
         raise ValueError("device pairs need first and last names or e-mail addresses")
     seen = devices.where(T.valid(F.col("mobile_device_id")) & T.valid(F.col("card_nbr"))).select("card_nbr", "mobile_device_id").distinct()
-    shared = seen.groupBy("mobile_device_id").agg(F.countDistinct("card_nbr").alias("cnt")).where(F.col("cnt") > 1)
-    if cap:
-        shared = shared.where(F.col("cnt") <= cap)
-    rows = seen.join(shared.select("mobile_device_id"), "mobile_device_id", "left_semi").join(pii.select("card_nbr", *wanted).distinct(), "card_nbr")
+    rows = seen.join(pii.select("card_nbr", *wanted).distinct(), "card_nbr", "left")
+    rows = rows.where(F.col("first_nm").isNotNull()) if "first_nm" in wanted else rows
+    shared = rows.groupBy("mobile_device_id").agg(F.countDistinct("card_nbr").alias("cnt")).where(F.col("cnt") > 1)
+    return rows.join(shared, "mobile_device_id").select("card_nbr", "mobile_device_id", *wanted, "cnt")
+
+
+def device_pairs(devices: DataFrame, pii: DataFrame, cap: int | None = None) -> DataFrame:
+    """c1c2, mobile_device_id, and card, names and e-mail of both cards of each pair that shares a device.
+
+    cap: most cards of a device. The rule has none; a device of very many cards has a row for each pair of them, so where only
+    the matches' components are wanted, device_match_stars() is the way.
+    """
+    rows = device_rows(devices, pii)
+    rows = (rows.where(F.col("cnt") <= cap) if cap else rows).drop("cnt")
+    wanted = [c for c in rows.columns if c not in ("card_nbr", "mobile_device_id")]
     side = lambda i: rows.select("mobile_device_id", *[F.col(c).alias(f"{c}_{i}") for c in ("card_nbr", *wanted)])
     pairs = side(1).join(side(2), "mobile_device_id").where("card_nbr_1 < card_nbr_2")
     return pairs.select(F.concat("card_nbr_1", "card_nbr_2").alias("c1c2"), "mobile_device_id", *[f"{c}_{i}" for c in ("card_nbr", *wanted) for i in (1, 2)])
 
 
+def device_match_stars(devices: DataFrame, pii: DataFrame) -> DataFrame:
+    """card_nbr_1, card_nbr_2: cards of one device with equal known names, both of them, or equal known e-mails, each with the
+    first card of its kind. Components are those of the matched device pairs, with a row a card instead of a pair."""
+    rows = device_rows(devices, pii)
+    kinds = [k for k in (("first_nm", "last_nm"), ("email_address",)) if set(k) <= set(rows.columns)]
+    out = []
+    for kind in kinds:
+        known = rows.where(reduce(lambda a, b: a & b, [T.valid(F.col(c)) for c in kind])).select("mobile_device_id", *kind, "card_nbr").distinct()
+        first = known.groupBy("mobile_device_id", *kind).agg(F.min("card_nbr").alias("card_nbr_1"))
+        out.append(known.join(first, ["mobile_device_id", *kind]).where("card_nbr_1 < card_nbr").select("card_nbr_1", F.col("card_nbr").alias("card_nbr_2")))
+    return union_pairs(out, distinct=True)
+
+
 def device_cards(devices: DataFrame) -> DataFrame:
     """mobile_device_id, cnt and cards (different cards, in order, by commas) of the devices of more than one card."""
     known = devices.where(T.valid(F.col("mobile_device_id")) & T.valid(F.col("card_nbr"))).groupBy("mobile_device_id").agg(F.collect_set("card_nbr").alias("all"))
@@ -116,6 +151,8 @@ def household_stars(cards: DataFrame, key: str, cap: int = HOUSEHOLD_CAP) -> Dat
     return members.join(blocks, key).where("card_nbr_1 < card_nbr_2").select("card_nbr_1", "card_nbr_2")
 
 
-def union_household_pairs(parts: list[DataFrame]) -> DataFrame:
-    """card_nbr_1, card_nbr_2, paired_cards of all keys, each pair once; no parts give no rows only where a session has one to give."""
-    return reduce(DataFrame.unionByName, [p.select("card_nbr_1", "card_nbr_2", "paired_cards") for p in parts]).dropDuplicates(["card_nbr_1", "card_nbr_2"])
+def union_household_pairs(parts: list[DataFrame | str] | DataFrame | str) -> DataFrame:
+    """card_nbr_1, card_nbr_2, paired_cards of all keys, each pair once. One table or several, as frames or by name; none gives no rows."""
+    columns = ("card_nbr_1", "card_nbr_2", "paired_cards")
+    found = [p.select(*columns) for p in _parts(parts)] or [empty(SparkSession.active(), *columns)]
+    return reduce(DataFrame.unionByName, found).dropDuplicates(["card_nbr_1", "card_nbr_2"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import kernels as K
 from kinweave.functions import text as T
 from kinweave.operators import classify, cleaning, evaluate, gender, identity, incremental, pairs
-from kinweave.sources import catalog
+from kinweave.sources import catalog, shared
 
 from . import oracles as O
 from .stages import HH_COLUMNS, ID_COLUMNS, Stages
@@ -18,15 +21,21 @@ from .stages import HH_COLUMNS, ID_COLUMNS, Stages
 DIGITS = 6
 _QUERIES: dict[str, Callable[[Stages], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_RICH: set[str] = set()
 
 
-def query(name: str, select: str | None = None):
-    """Registers a query; select is its SQL over the fixtures and stages."""
+def query(name: str, select: str | None = None, rich: bool = False):
+    """Registers a query; select is its SQL over the fixtures and stages. rich: over the accounts in which every rule finds something; under the name with _rich."""
 
     def register(f: Callable[[Stages], DataFrame]):
         _QUERIES[name] = f
         if select:
             _SQL[name] = O.sql(select)
+        if rich:
+            _QUERIES[f"{name}_rich"] = f
+            _RICH.add(f"{name}_rich")
+            if select:
+                _SQL[f"{name}_rich"] = O.sql(select, True)
         return f
 
     return register
@@ -126,7 +135,7 @@ _double("gen_fuzz_jw", _rounded(lambda a, b: K.pair_function("gen_jw", a, b)), _
 _double("name_contains", T.contained, "cast(a <> '' and b <> '' and (contains(a, b) or contains(b, a)) as integer)")
 
 
-@query("name_in_email", "select c1c2, cast((first_nm_1 <> '' and email_user_1 <> '' and contains(email_user_1, first_nm_1)) or (first_nm_2 <> '' and email_user_1 <> '' and contains(email_user_1, first_nm_2)) as integer) as result from (" + O.person_pairs("phone", "cleaned") + ")")
+@query("name_in_email", "select c1c2, cast((first_nm_1 <> '' and email_user_1 <> '' and contains(email_user_1, first_nm_1)) or (first_nm_2 <> '' and email_user_1 <> '' and contains(email_user_1, first_nm_2)) as integer) as result from (" + O.person_pairs("phone", "cleaned") + ")", rich=True)
 def _name_in_email(s: Stages) -> DataFrame:
     p = pairs.record_pairs(s.cleaned, "phone", roles=("card_nbr", "first_nm", "last_nm", "email_address", "email_user"))
     return p.select("c1c2", T.name_in_email(F.col("first_nm_1"), F.col("first_nm_2"), F.col("email_user_1")).alias("result"))
@@ -172,7 +181,7 @@ query("gender_nb", "select card_nbr, first_nm, gender from known")(lambda s: s.k
 
 query("block_sizes", "select phone, cast(count(distinct card_nbr) as bigint) as cnt from cleaned where phone <> '' group by phone having count(distinct card_nbr) > 1 and count(distinct card_nbr) < 10000")(lambda s: pairs.block_sizes(s.cleaned, "phone"))
 for _short, _key in (("phone", "phone"), ("email", "email_address"), ("household", "household_id")):
-    query(f"pairs_{_short}", O.person_pairs(_key))(lambda s, k=_key: s.person_pairs(k))
+    query(f"pairs_{_short}", O.person_pairs(_key), rich=True)(lambda s, k=_key: s.person_pairs(k))
 _FEW = "card_nbr_1, card_nbr_2, c1c2, first_nm_1, first_nm_2, email_address_1, email_address_2"
 query("pairs_union_all", f"select {_FEW} from all_pairs")(lambda s: s.all_pairs.select(*_FEW.split(", ")))
 query("pairs_union_distinct", f"select distinct {_FEW} from all_pairs")(lambda s: pairs.union_pairs([s.all_pairs.select(*_FEW.split(", "))], distinct=True))
@@ -180,10 +189,10 @@ query("pairs_numbered", f"select card_nbr_1, card_nbr_2, row_number() over (orde
 query("device_cards", "select mobile_device_id, count(distinct card_nbr) as cnt, string_agg(distinct card_nbr, ',' order by card_nbr) as cards from devices where mobile_device_id <> '' and card_nbr <> '' group by 1 having count(distinct card_nbr) > 1")(
     lambda s: pairs.device_cards(s.data.devices)
 )
-query("device_pairs", "select * from device_pairs")(lambda s: s.device_pairs)
-query("device_features", "select * from device_features")(lambda s: classify.rule_features(s.device_pairs))
-query("device_match", "select card_nbr_1, card_nbr_2, mobile_device_id, prediction from device_matches")(lambda s: s.device_matches.select("card_nbr_1", "card_nbr_2", "mobile_device_id", "prediction"))
-query("pairs_minus_device", f"select {_FEW} from all_pairs where (card_nbr_1, card_nbr_2) not in (select (card_nbr_1, card_nbr_2) from device_matches where prediction = 1)")(
+query("device_pairs", "select * from device_pairs", rich=True)(lambda s: s.device_pairs)
+query("device_features", "select * from device_features", rich=True)(lambda s: classify.rule_features(s.device_pairs))
+query("device_match", "select card_nbr_1, card_nbr_2, mobile_device_id, prediction from device_matches", rich=True)(lambda s: s.device_matches.select("card_nbr_1", "card_nbr_2", "mobile_device_id", "prediction"))
+query("pairs_minus_device", f"select {_FEW} from all_pairs where (card_nbr_1, card_nbr_2) not in (select (card_nbr_1, card_nbr_2) from device_matches where prediction = 1)", rich=True)(
     lambda s: pairs.without_pairs(s.all_pairs.select(*_FEW.split(", ")), s.device_matches.where("prediction = 1")).select(*_FEW.split(", "))
 )
 _INDICATORS = ["either_null_first_nm", "both_valid_first_nm", "either_null_email_address", "same_fn", "approx_fn", "same_ln", "approx_ln", "same_email_address", "approx_email_address", "same_address", "same_gender", "first_nm_in_email", "jw_simi_fn", "lev_ratio_ln", "damerau_lev_simi_fn", "jw_simi_address"]
@@ -207,7 +216,7 @@ def _features_sql() -> str:
     return "select card_nbr_1, card_nbr_2, " + ", ".join(f"{found[n]} as {n}" for n in _INDICATORS) + f" from ({O.person_pairs('phone')})"
 
 
-@query("model_features", _features_sql())
+@query("model_features", _features_sql(), rich=True)
 def _model_features(s: Stages) -> DataFrame:
     df = classify.model_features(s.person_pairs("phone"))
     return df.select("card_nbr_1", "card_nbr_2", *[F.round(n, DIGITS).alias(n) if "simi" in n or "ratio" in n else F.col(n) for n in _INDICATORS])
@@ -224,15 +233,15 @@ query("model_predict")(lambda s: classify.predictions(s.model, s.labelled_pairs,
 
 # Components and ids.
 
-query("person_components", "select id, component from person_components")(lambda s: s.person_components)
-query("person_ids", "select card_nbr, first_nm, shopper_first_card_nbr from persons")(lambda s: s.persons.select("card_nbr", "first_nm", "shopper_first_card_nbr"))
+query("person_components", "select id, component from person_components", rich=True)(lambda s: s.person_components)
+query("person_ids", "select card_nbr, first_nm, shopper_first_card_nbr from persons", rich=True)(lambda s: s.persons.select("card_nbr", "first_nm", "shopper_first_card_nbr"))
 query("person_ids_hashed")(lambda s: identity.person_ids(s.cleaned, s.person_components).select("card_nbr", "shopper_id"))
 query("person_ids_no_components", "select card_nbr, card_nbr as shopper_first_card_nbr from cleaned")(lambda s: identity.person_ids(s.cleaned, None, hashed=False).select(*ID_COLUMNS))
 _HALF = "cast(card_nbr as bigint) % 10 < 8"
 query("person_full_insert", f"select card_nbr, case when {_HALF} then 'old' else shopper_first_card_nbr end as shopper_first_card_nbr from persons")(
     lambda s: identity.insert_unseen(s.persons.where(_HALF).withColumn("shopper_first_card_nbr", F.lit("old")), s.persons, ID_COLUMNS)
 )
-query("merge_candidates", "select component, count(distinct p.shopper_first_card_nbr) as n_ids from household_components h join persons p on p.card_nbr = h.id group by component having count(distinct p.shopper_first_card_nbr) > 1")(
+query("merge_candidates", "select component, count(distinct p.shopper_first_card_nbr) as n_ids from household_components h join persons p on p.card_nbr = h.id group by component having count(distinct p.shopper_first_card_nbr) > 1", rich=True)(
     lambda s: identity.merge_candidates(s.persons, s.household_components, "shopper_first_card_nbr")
 )
 for _short, _key in (("shopper", "shopper_id"), ("phone", "phone"), ("email", "email_address"), ("household", "household_id"), ("multi", "multi_key")):
@@ -242,23 +251,145 @@ for _short, _key in (("shopper", "shopper_id"), ("phone", "phone"), ("email", "e
 query("hh_pairs_union", " union ".join(f"select a.card_nbr as card_nbr_1, b.card_nbr as card_nbr_2, a.card_nbr || '-' || b.card_nbr as paired_cards from household_cards a join household_cards b on a.{k} = b.{k} and a.card_nbr < b.card_nbr where a.{k} <> ''" for k in ("phone", "multi_key")))(
     lambda s: pairs.union_household_pairs([s.household_pairs(k) for k in ("phone", "multi_key")])
 )
-query("hh_components", "select id, component from household_components")(lambda s: s.household_components)
-query("household_ids", "select card_nbr, shopper_first_card_nbr, hhid_first_card_nbr from households")(lambda s: s.households.select(*HH_COLUMNS))
+query("hh_components", "select id, component from household_components", rich=True)(lambda s: s.household_components)
+query("household_ids", "select card_nbr, shopper_first_card_nbr, hhid_first_card_nbr from households", rich=True)(lambda s: s.households.select(*HH_COLUMNS))
 query("household_ids_hashed")(lambda s: identity.household_ids(s.persons, s.whole_household_components).select("card_nbr", "hhid"))
 # By all five keys of the reference; the queries above follow their SQL, which has fewer.
-query("hh_pairs_union_whole")(lambda s: pairs.union_household_pairs([s.household_pairs(k) for k in pairs.HOUSEHOLD_KEYS]))
-query("hh_components_whole")(lambda s: s.whole_household_components)
-query("household_ids_whole")(lambda s: s.whole_households.select(*HH_COLUMNS))
-query("household_full_insert_whole")(
+query("hh_pairs_union_whole", " union ".join(f"select a.card_nbr as card_nbr_1, b.card_nbr as card_nbr_2, a.card_nbr || '-' || b.card_nbr as paired_cards from household_cards a join household_cards b on a.{k} = b.{k} and a.card_nbr < b.card_nbr where a.{k} <> '' and a.{k} in (select {k} from household_cards where {k} <> '' group by 1 having count(distinct card_nbr) <= 10000)" for k in pairs.HOUSEHOLD_KEYS))(lambda s: pairs.union_household_pairs([s.household_pairs(k) for k in pairs.HOUSEHOLD_KEYS]))
+query("hh_components_whole", "select id, component from whole_components")(lambda s: s.whole_household_components)
+query("household_ids_whole", "select card_nbr, shopper_first_card_nbr, hhid_first_card_nbr from whole_households")(lambda s: s.whole_households.select(*HH_COLUMNS))
+query("household_full_insert_whole", f"select card_nbr, shopper_first_card_nbr, case when {_HALF} then 'old' else hhid_first_card_nbr end as hhid_first_card_nbr from whole_households")(
     lambda s: identity.insert_unseen(s.whole_households.where(_HALF).withColumn("hhid_first_card_nbr", F.lit("old")), s.whole_households, HH_COLUMNS)
 )
-query("merge_candidates_whole")(lambda s: identity.merge_candidates(s.persons, s.whole_household_components, "shopper_first_card_nbr"))
-query("reduction_whole")(lambda s: evaluate.reduction(s.whole_households))
+query("merge_candidates_whole", "select component, count(distinct p.shopper_first_card_nbr) as n_ids from whole_components h join persons p on p.card_nbr = h.id group by component having count(distinct p.shopper_first_card_nbr) > 1")(lambda s: identity.merge_candidates(s.persons, s.whole_household_components, "shopper_first_card_nbr"))
+query("reduction_whole", "select count(*) as cards, count(distinct shopper_first_card_nbr) as persons, count(distinct hhid_first_card_nbr) as households, round(1 - count(distinct shopper_first_card_nbr) / count(*), 9) as person_reduction, round(1 - count(distinct hhid_first_card_nbr) / count(*), 9) as household_reduction from whole_households")(lambda s: evaluate.reduction(s.whole_households))
 query("household_full_insert", f"select card_nbr, shopper_first_card_nbr, case when {_HALF} then 'old' else hhid_first_card_nbr end as hhid_first_card_nbr from households")(
     lambda s: identity.insert_unseen(s.households.where(_HALF).withColumn("hhid_first_card_nbr", F.lit("old")), s.households, HH_COLUMNS)
 )
 
 
+# The e-mail, household and union pairs of the accounts that have some.
+for _short in ("email", "household"):
+    _QUERIES[f"hh_pairs_{_short}_rich"] = _QUERIES[f"hh_pairs_{_short}"]
+    _RICH.add(f"hh_pairs_{_short}_rich")
+    _key = {"email": "email_address", "household": "household_id"}[_short]
+    _SQL[f"hh_pairs_{_short}_rich"] = O.sql(f"select a.{_key} as group_col, a.card_nbr as card_nbr_1, b.card_nbr as card_nbr_2, a.card_nbr || '-' || b.card_nbr as paired_cards from household_cards a join household_cards b on a.{_key} = b.{_key} and a.card_nbr < b.card_nbr where a.{_key} <> ''", True)
+
+
+# Tables: each query goes through the catalogue's own reading and writing, in a folder of its own.
+
+
+@contextmanager
+def _catalog(s: Stages):
+    yield catalog.Catalog(s.spark, f"{shared.session_folder(s.spark)}/tables-{uuid.uuid4().hex}", user="someone", database="cards")
+
+
+def _constants(**columns: str) -> str:
+    return "select " + ", ".join(f"{v} as {k}" for k, v in columns.items())
+
+
+_TWO = "card_nbr, phone"
+
+
+@query("source_read", f"select {_TWO} from accounts")
+def _source_read(s: Stages) -> DataFrame:
+    with _catalog(s) as c:
+        c.write(s.accounts.select(F.col("card_nbr").alias("CARD_NBR"), F.col("phone").alias("Phone")), "t")
+        return c.read("t")
+
+
+@query("source_read_select", "select phone, count(*) as n from accounts where phone <> '' group by phone")
+def _source_read_select(s: Stages) -> DataFrame:
+    with _catalog(s) as c:
+        c.view(s.accounts, "kinweave_accounts")
+        return c.read("select phone, count(*) as N from kinweave_accounts where phone <> '' group by phone")
+
+
+@query("sink_append", f"select {_TWO} from accounts")
+def _sink_append(s: Stages) -> DataFrame:
+    """Written, half of it; then the rest is added."""
+    with _catalog(s) as c:
+        c.write(s.accounts.select("card_nbr", "phone").where(_HALF), "t")
+        c.append(s.accounts.select("card_nbr", "phone").where(f"not ({_HALF})"), "t")
+        return c.read("t")
+
+
+@query("sink_overwrite", f"select {_TWO} from accounts where phone <> ''")
+def _sink_overwrite(s: Stages) -> DataFrame:
+    with _catalog(s) as c:
+        c.write(s.accounts.select("card_nbr", "phone"), "t")
+        return c.materialize(s.accounts.select("card_nbr", "phone").where("phone <> ''"), "t")
+
+
+@query("sink_truncate", _constants(n_rows="cast(0 as bigint)", columns="'card_nbr,phone'"))
+def _sink_truncate(s: Stages) -> DataFrame:
+    with _catalog(s) as c:
+        c.write(s.accounts.select("card_nbr", "phone"), "t")
+        c.truncate("t")
+        left = c.read("t")
+        return left.agg(F.count("*").alias("n_rows")).withColumn("columns", F.lit(",".join(left.columns)))
+
+
+@query("typed_empty", _constants(n_rows="cast(0 as bigint)", types="'card_nbr string, shopper_id string'"))
+def _typed_empty(s: Stages) -> DataFrame:
+    none = catalog.empty(s.spark, "card_nbr", "shopper_id")
+    return none.agg(F.count("*").alias("n_rows")).withColumn("types", F.lit(", ".join(f"{n} {t}" for n, t in none.dtypes)))
+
+
+@query("temp_view", "select household_id, count(*) as n from accounts group by household_id")
+def _temp_view(s: Stages) -> DataFrame:
+    with _catalog(s) as c:
+        c.view(s.accounts, "kinweave_view")
+        return s.spark.table("kinweave_view").groupBy("household_id").agg(F.count("*").alias("n"))
+
+
+@query("table_fresh_both", _constants(today="true", long_ago="false"))
+def _table_fresh_both(s: Stages) -> DataFrame:
+    with _catalog(s) as c:
+        c.write(s.accounts.select("card_nbr", F.current_timestamp().cast("string").alias("dw_last_update_ts")), "new")
+        c.write(s.accounts.select("card_nbr", "dw_last_update_ts"), "old")
+        return s.spark.range(1).select(F.lit(c.is_fresh("new")).alias("today"), F.lit(c.is_fresh("old")).alias("long_ago"))
+
+
+@query("statements", "select * from (values (1, 'numbers created'), (2, 'numbers inserted into'), (3, 'numbers truncated'), (4, 'numbers dropped'), (5, 'numbers: drop statement failed')) v(step, said)")
+def _statements(s: Stages) -> DataFrame:
+    """What is said of statements that work and of one that does not."""
+    name = f"numbers_{uuid.uuid4().hex}"
+    with _catalog(s) as c:
+        said = [c.run(sql.format(name), name) for sql in ("create table {} (n int) using parquet", "insert into {} values (1)", "truncate table {}", "drop table {}")]
+        try:
+            c.run(f"drop table {name}", name)
+        except ValueError as e:
+            said.append(str(e).split(":", 2)[0] + ":" + str(e).split(":", 2)[1])
+        return s.spark.createDataFrame([(k + 1, x.replace(name, "numbers")) for k, x in enumerate(said)], "step int, said string")
+
+
+@query("catalog_options", "select * from (values ('database', 'cards', 'cards'), ('user', 'other', '***')) v(name, value, shown)")
+def _catalog_options(s: Stages) -> DataFrame:
+    """Options as they are got, and as the catalogue shows itself: who uses it stays hidden."""
+    with _catalog(s) as c:
+        c.set_option("user", "other")
+        shown = ast.literal_eval(repr(c)[repr(c).index("{") : -1])
+        return s.spark.createDataFrame([(n, c.option(n), shown[n]) for n in ("database", "user")], "name string, value string, shown string")
+
+
+@query("call_procedure", "select count(*) as n, 'O''Neil' as said from accounts where phone is null")
+def _call_procedure(s: Stages) -> DataFrame:
+    with _catalog(s) as c:
+        c.procedures["unknown"] = lambda column, said: s.accounts.where(F.col(column).isNull()).agg(F.count("*").alias("n")).withColumn("said", F.lit(said))
+        return c.call("unknown", "phone", "O'Neil")
+
+
+@query("model_round_trip", _constants(rows_differ="cast(0 as bigint)"))
+def _model_round_trip(s: Stages) -> DataFrame:
+    """The classifier saved, loaded and asked again: rows whose prediction differs from the trained one's."""
+    with _catalog(s) as c:
+        path = f"{c.root}/model"
+        s.model.save(path)
+        said = [classify.predictions(m, s.labelled_pairs, 0.75).select("card_nbr_1", "card_nbr_2", "prob_1", "prediction") for m in (s.model, c.model(path))]
+        return said[0].exceptAll(said[1]).agg(F.count("*").alias("rows_differ"))
+
+
 # Incremental maintenance, checks and figures.
 
 
@@ -281,10 +412,19 @@ query("incremental_info", "select a.card_nbr, a.phone, coalesce(f.first_txn_dte,
 query("device_update", "select card_nbr, mobile_device_id from devices where mobile_device_id < 'dev-0030' or card_nbr in (select card_nbr from new_cards)")(
     lambda s: incremental.update_devices(s.data.devices.where("mobile_device_id < 'dev-0030'"), s.data.devices, s.new_cards)
 )
-query("table_exists", "select count(*) > 0 as found from accounts")(lambda s: s.accounts.limit(1).agg((F.count("*") > 0).alias("found")))
+
+
+@query("table_exists", "select count(*) > 0 as found from accounts")
+def _table_exists(s: Stages) -> DataFrame:
+    with _catalog(s) as c:
+        c.write(s.accounts, "accounts")
+        found = c.check_exists("accounts") == "accounts exists and has rows"
+        return s.spark.range(1).select(F.lit(found).alias("found"))
+
+
 query("table_fresh", "select cast(max(dw_last_update_ts) as date) >= current_date as is_fresh from accounts")(lambda s: catalog.fresh(s.accounts, "dw_last_update_ts"))
 query("report_counts", "select count(*) as n_rows, count(distinct shopper_first_card_nbr) as n_shopper_first_card_nbr, count(distinct hhid_first_card_nbr) as n_hhid_first_card_nbr, count(distinct household_id) as n_household_id from households")(lambda s: evaluate.report(s.households))
-query("reduction", "select count(*) as cards, count(distinct shopper_first_card_nbr) as persons, count(distinct hhid_first_card_nbr) as households, round(1 - count(distinct shopper_first_card_nbr) / count(*), 9) as person_reduction, round(1 - count(distinct hhid_first_card_nbr) / count(*), 9) as household_reduction from households")(
+query("reduction", "select count(*) as cards, count(distinct shopper_first_card_nbr) as persons, count(distinct hhid_first_card_nbr) as households, round(1 - count(distinct shopper_first_card_nbr) / count(*), 9) as person_reduction, round(1 - count(distinct hhid_first_card_nbr) / count(*), 9) as household_reduction from households", rich=True)(
     lambda s: evaluate.reduction(s.households)
 )
 _JUDGED = "select cast(cast(card_nbr_1 as bigint) // 3 = cast(card_nbr_2 as bigint) // 3 as integer) as target, cast(last_nm_1 <> '' and last_nm_1 = last_nm_2 as integer) as prediction, cast(last_nm_1 <> '' and last_nm_1 = last_nm_2 as integer) + cast(first_nm_1 <> '' and first_nm_1 = first_nm_2 as integer) as score from all_pairs"
@@ -311,7 +451,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Stages(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f, rich=name in _RICH: f(Stages(spark, sf_dir, rich))) for name, f in _QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:

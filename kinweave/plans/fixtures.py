@@ -35,6 +35,21 @@ from events),
 transactions as (select lpad(cast(k as string), 8, '0') as card_nbr, d as txn_dte, s as store_id, u as upc_id from tx),
 stores as (select lpad(cast(s_suppkey as string), 4, '0') as store_id, lpad(cast(s_nationkey as string), 5, '0') as zip_code from supplier)"""
 
+#: The same cards with contact data in which every rule finds something: e-mail users that hold the first name, cards of one
+#: person on one device, e-mail addresses that persons share.
+RICH_CTES = ACCOUNTS_CTES.replace("\naccounts as (", "\nplain as (").replace(
+    "devices as (\nselect distinct lpad(cast(user_id as string), 8, '0') as card_nbr,\n  concat('dev-', lpad(cast((user_id * 7 + cast(floor(event_id / 5000) as bigint)) % 61 as string), 4, '0')) as mobile_device_id\nfrom events),",
+    """numbered as (select *, cast(card_nbr as bigint) as k, cast(floor(cast(card_nbr as bigint) / 3) as bigint) as g from plain),
+accounts as (
+select card_nbr, household_id, phone, case when k % 3 = 0 and g % 8 = 0 then 'JOHN' else first_nm end as first_nm, last_nm, address_line1, address_line2,
+  case when k % 7 = 0 then 'noemail' when k % 10 = 1 then concat('family.', cast(cast(floor(g / 4) as bigint) as string), '@mail.example')
+       when first_nm <> '' then concat(lower(substr(first_nm, 1, 4)), '.', cast(g as string), '@mail.example') else email_address end as email_address,
+  first_txn_dte, first_used_store_id, first_used_zip_code, first_upc, dw_last_update_ts from numbered),
+devices as (
+select card_nbr, concat('dev-', lpad(cast(g as string), 6, '0')) as mobile_device_id from numbered where k % 4 <> 0
+union all select lpad(cast(k + 5000000 as string), 8, '0'), concat('dev-', lpad(cast(g as string), 6, '0')) from numbered where k % 9 = 0),""",
+)
+
 PROFANE = [("spam",)]
 SUFFIXES = [("street", "st", "str"), ("avenue", "ave", "av"), ("road", "rd", "rd."), ("boulevard", "blvd", "boul"), ("lane", "ln", "la"), ("apartment", "apt", "apmt")]
 NAMES_US_CA = [("john", "M"), ("mary", "F"), ("susanmarie", "F")]
@@ -49,15 +64,15 @@ TABLES = {"accounts": "accounts", "devices": "devices", "transactions": "transac
 class Fixtures:
     """The derived tables over one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, rich: bool = False):
+        self.spark, self.sf_dir, self.ctes = spark, sf_dir, RICH_CTES if rich else ACCOUNTS_CTES
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def derived(self, name: str) -> DataFrame:
         sources = {t: self.base(t) for t in ("orders", "lineitem", "customer", "events", "supplier")}
-        sql = ACCOUNTS_CTES
+        sql = self.ctes
         for t in sources:
             for word in ("from", "join"):
                 sql = sql.replace(f"{word} {t}", f"{word} {{{t}}}")

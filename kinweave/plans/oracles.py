@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from kinweave.operators.cleaning import EMAIL, NO_ADDRESS, NO_EMAIL_USER, NO_FIRST_OR_LAST, NO_NAME, TOLL_FREE
-
 from . import fixtures as fx
 
+# Fixed values, written here once more so that an error in the library's own does not pass.
+TOLL_FREE = ["800", "888", "877", "866", "855", "844"]
+NO_NAME = ["valued customer", "customer", "valued", "anycart", "albertsons", "safeway"]
+NO_FIRST_OR_LAST = ["test", "notgiven", "noname", "valued customer", "customer", "valued", "anycart", "albertsons", "safeway", "na", "n/a", "", " "]
+NO_EMAIL_USER = ["n/a", " ", "", "na", "n a", "no", "none", "noemail", "email", "albertsons", "safeway", "invalid"]
+NO_ADDRESS = ["n/a", " ", "", "na", "n a", "no", "none", "albertsons", "safeway", "invalid"]
+EMAIL = r'''^(?:[\-!#-'*+/-9=?A-Z\^-~]+(?:\.[\-!#-'*+/-9=?A-Z\^-~]+)*|"(?:[\]!#-\[\^-~ \t]|(?:\\[\t -~]))+")@(?:[\-!#-'*+/-9=?A-Z\^-~]+(?:\.[\-!#-'*+/-9=?A-Z\^-~]+)*|\[[\t -Z\^-~]*\])\z'''
+
 
 def listed(xs) -> str:
     return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + ")"
@@ -148,6 +154,13 @@ CTES |= {
     "household_components": f"select * from {components('household_edges')}",
     "household_first": first_card("(select c.*, p.component from persons c join household_components p on p.id = c.card_nbr)", "hhid_first_card_nbr", "shopper_first_card_nbr"),
     "households": "select c.*, coalesce(f.hhid_first_card_nbr, c.shopper_first_card_nbr) as hhid_first_card_nbr from persons c left join household_components p on p.id = c.card_nbr left join household_first f on f.component = p.component",
+    "whole_edges": " union ".join(
+        f"select b.first as src, c.card_nbr as dst from household_cards c join (select {k} as k, min(card_nbr) as first from household_cards where {k} <> '' group by 1 having count(distinct card_nbr) between 2 and 10000) b on b.k = c.{k} where b.first < c.card_nbr"
+        for k in ("shopper_id", "phone", "email_address", "household_id", "multi_key")
+    ),
+    "whole_components": f"select * from {components('whole_edges')}",
+    "whole_first": first_card("(select c.*, p.component from persons c join whole_components p on p.id = c.card_nbr)", "hhid_first_card_nbr", "shopper_first_card_nbr"),
+    "whole_households": "select c.*, coalesce(f.hhid_first_card_nbr, c.shopper_first_card_nbr) as hhid_first_card_nbr from persons c left join whole_components p on p.id = c.card_nbr left join whole_first f on f.component = p.component",
     "previous": "select * from accounts where cast(card_nbr as bigint) % 10 < 8",
     "fresh_cards": "select * from accounts where card_nbr not in (select card_nbr from previous)",
     "new_cards": "select card_nbr from fresh_cards " + " ".join(f"union select a.card_nbr from accounts a where a.{k} <> '' and a.{k} in (select {k} from fresh_cards where {k} <> '')" for k in ("phone", "household_id", "email_address")),
@@ -160,7 +173,7 @@ CTES |= {
 }
 
 
-def sql(select: str) -> str:
+def sql(select: str, rich: bool = False) -> str:
     """A query over the fixtures and the stages that its text names, in their order."""
     import re
 
@@ -174,4 +187,4 @@ def sql(select: str) -> str:
 
     need(select)
     parts = [f"{n} as ({CTES[n]})" for n in CTES if n in wanted]
-    return "with " + ",\n".join([fx.ACCOUNTS_CTES, *parts]) + "\n" + select
+    return "with " + ",\n".join([fx.RICH_CTES if rich else fx.ACCOUNTS_CTES, *parts]) + "\n" + select

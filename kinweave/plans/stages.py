@@ -19,9 +19,9 @@ HH_COLUMNS = ["card_nbr", "shopper_first_card_nbr", "hhid_first_card_nbr"]
 
 
 class Stages:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, rich: bool = False):
         self.spark = spark
-        self.data = Fixtures(spark, sf_dir)
+        self.data = Fixtures(spark, sf_dir, rich)
 
     @cached_property
     def accounts(self) -> DataFrame:
@@ -63,7 +63,7 @@ class Stages:
         p = pairs.record_pairs(self.table, "phone", roles=ROLES)
         same = lambda c: T.both_valid(F.col(f"{c}_1"), F.col(f"{c}_2")) & (F.col(f"{c}_1") == F.col(f"{c}_2"))
         rule = p.where(same("last_nm") | same("email_address")).select("card_nbr_1", "card_nbr_2")
-        return rule.unionByName(self.device_matches.where("prediction = 1").select("card_nbr_1", "card_nbr_2"))
+        return rule.unionByName(pairs.device_match_stars(self.data.devices, self.table))
 
     @cached_property
     def person_components(self) -> DataFrame:

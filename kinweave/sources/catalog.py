@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
-from functools import reduce
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ class Catalog:
         """A registered callable, else a stored procedure of the session's catalogs."""
         if procedure in self.procedures:
             return self.procedures[procedure](*args)
-        return self.spark.sql(f"CALL {procedure}({', '.join(map(repr, args))})")
+        return self.spark.sql(f"CALL {procedure}({', '.join(map(literal, args))})")
 
     def alter(self, statement: str) -> None:
         self.spark.sql(statement)
@@ -114,6 +115,26 @@ class Catalog:
         return PipelineModel.load(path)
 
 
+def literal(value: object) -> str:
+    """A value as SQL."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, Decimal)):
+        return str(value)
+    if isinstance(value, float):
+        return f"double('{value!r}')"
+    if isinstance(value, datetime.datetime):
+        return f"TIMESTAMP '{value.isoformat(' ')}'"
+    if isinstance(value, datetime.date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    raise TypeError(f"a {type(value).__name__} has no SQL literal")
+
+
 def fresh(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.coalesce(F.to_date(F.max(F.col(column).cast("timestamp"))) >= F.current_date(), F.lit(False)).alias("is_fresh"))
 
@@ -126,7 +147,3 @@ def empty(spark: SparkSession, *columns: str) -> DataFrame:
 def dimension(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A lookup table for broadcast, checked to be small; a larger one comes back as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def _session_folder(spark: SparkSession) -> str:
+def session_folder(spark: SparkSession) -> str:
+    """The session's own folder for tables, made once; deleted when the driver's process ends."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{shared_folder(spark)}/kinweave-{uuid.uuid4().hex}"
@@ -42,7 +43,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
     spark = df.sparkSession
-    path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinweave_path = path

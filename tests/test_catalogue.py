@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["clean_int", "hash_15", "lev_ratio_alnum", "gen_lev", "soundex", "fuzz_jw_alnum", "pairs_numbered", "device_cards", "phone_validity", "name_clean", "email_clean", "address_clean", "gender_nb", "pairs_phone", "device_match", "person_ids", "incremental_cards", "most_used_store"]
+SOME = ["clean_int", "hash_15", "lev_ratio_alnum", "gen_lev", "soundex", "fuzz_jw_alnum", "pairs_numbered", "device_cards", "phone_validity", "name_clean", "email_clean", "address_clean", "gender_nb", "pairs_phone", "device_match", "person_ids", "incremental_cards", "most_used_store", "name_in_email_rich", "device_match_rich", "hh_pairs_email_rich", "hh_components_whole", "source_read", "sink_append", "sink_truncate", "statements", "table_exists", "table_fresh_both"]
 
 
 def plain(v):
@@ -25,5 +25,12 @@ def test_queries_follow_sql(spark, name):
     assert sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=key) == sorted(([plain(r[i]) for i in at] for r in want.fetchall()), key=key)
 
 
+def test_rules_act_on_the_rich_accounts(spark):
+    q = entry.queries()
+    count = lambda name, where="true": q[name](spark, SF).where(where).count()
+    assert count("device_match_rich", "prediction = 1") > 10 and count("name_in_email_rich", "result = 1") > 10 and count("hh_pairs_email_rich") > 10
+    assert count("pairs_minus_device_rich") < sum(count(f"pairs_{k}_rich") for k in ("phone", "email", "household"))
+
+
 def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())

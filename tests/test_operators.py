@@ -1,15 +1,18 @@
+import datetime
+import decimal
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import cleaning, evaluate, graph, identity, incremental, pairs
-from kinweave.sources.catalog import Catalog, empty
+from kinweave.operators import classify, cleaning, evaluate, graph, identity, incremental, pairs
+from kinweave.sources import shared
+from kinweave.sources.catalog import Catalog, empty, literal
 
 
 def test_components_on_chain_star_loop_and_nothing(spark):
     rng = random.Random(1)
-    edges = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("s000", f"s{i:03}") for i in range(1, 40)] + [("z", "z"), (None, "q")]
+    edges = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("s000", f"s{i:03}") for i in range(1, 40)] + [("z", "z"), (None, "q"), ("a", ""), ("b", ""), ("", "d")]
     rng.shuffle(edges)
     got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
     assert got == {f"c{i:03}": "c000" for i in range(61)} | {f"s{i:03}": "s000" for i in range(40)} | {"z": "z"}
@@ -57,6 +60,65 @@ def test_too_many_suffixes_are_an_error_not_cut(spark):
         cleaning.suffix_map(spark.range(10_001).selectExpr("concat('full', id) as full", "concat('v', id) as v"))
 
 
+def test_device_stars_have_the_components_of_matched_pairs(spark):
+    people = [("1", "ann", "lee", "a@x"), ("2", "ann", "lee", None), ("3", "bob", "lee", "a@x"), ("4", None, "lee", "z@x"), ("5", "eve", None, "z@x"), ("6", "ann", "lee", "")]
+    pii = spark.createDataFrame(people, "card_nbr string, first_nm string, last_nm string, email_address string")
+    devices = spark.createDataFrame([(c, "d1") for c in "123456"] + [("1", "d2"), ("5", "d2"), ("9", "d2"), ("", "d1"), ("2", None)], "card_nbr string, mobile_device_id string")
+    found = pairs.device_pairs(devices, pii)
+    assert {r.c1c2 for r in found.collect()} == {"12", "13", "15", "16", "23", "25", "26", "35", "36", "56"}  # card 4 has no first name, card 9 no contact data
+    matched = classify.rule_match(classify.rule_features(found)).where("prediction = 1")
+    assert {r.c1c2 for r in matched.collect()} == {"12", "13", "16", "26"}
+    whole = graph.connected_components(matched, "card_nbr_1", "card_nbr_2").collect()
+    assert set(whole) == set(graph.connected_components(pairs.device_match_stars(devices, pii), "card_nbr_1", "card_nbr_2").collect())
+    assert pairs.device_pairs(devices, pii, cap=4).count() == 1
+    alone = pairs.device_pairs(devices, pii.select("card_nbr", "email_address"))
+    assert {r.c1c2 for r in alone.where("mobile_device_id = 'd2'").collect()} == {"15", "19", "59"}
+
+
+def test_unions_of_one_table_of_several_and_of_none(spark):
+    a = spark.createDataFrame([("1", "2", "1-2")], "card_nbr_1 string, card_nbr_2 string, paired_cards string")
+    a.createOrReplaceTempView("some_pairs")
+    assert pairs.union_household_pairs([]).count() == 0 and pairs.union_household_pairs([]).columns == a.columns and pairs.union_pairs([]).count() == 0
+    for parts in (a, [a], "some_pairs", ["some_pairs", a]):
+        assert pairs.union_household_pairs(parts).collect() == a.collect()
+    assert pairs.union_pairs([a, "some_pairs"]).count() == 2 and pairs.union_pairs("some_pairs", distinct=True).count() == 1
+
+
+def test_literals(spark):
+    values = [None, True, 7, 1.5, "O'Neil \\ x", datetime.date(2024, 2, 3), datetime.datetime(2024, 2, 3, 4, 5, 6), decimal.Decimal("1.20")]
+    assert list(spark.sql("select " + ", ".join(map(literal, values))).first()) == values
+    with pytest.raises(TypeError):
+        literal([1])
+
+
+def test_area_codes(spark):
+    df = spark.createDataFrame([("2065551234",), ("3125551234",), ("(206) 555-1234",)], "phone string")
+    codes = spark.createDataFrame([(206,)], "area_code int")
+    got = [r.is_valid_phone_number for r in cleaning.phone_validity(df, area_codes=codes).collect()]
+    assert got == [True, False, True]
+    assert cleaning.phone_validity(df, normalize=True).collect()[2].phone == "2065551234"
+
+
+def test_classifier_learns_and_thresholds_strictly(spark):
+    rng = random.Random(5)
+    rows = [(i, float(rng.random() < 0.3), rng.random()) for i in range(300)]
+    df = spark.createDataFrame([(i, a, b, int(a + b > 1.2)) for i, a, b in rows], "i int, a double, b double, target int")
+    model = classify.train(df, ["a", "b"], "target")
+    got = classify.predictions(model, df).collect()
+    assert sum(r.prediction == r.target for r in got) > 290 and all(abs(r.prob_0 + r.prob_1 - 1) < 1e-6 for r in got)
+    most = max(r.prob_1 for r in got)
+    assert classify.predictions(model, df, most).where("prediction = 1").count() == 0
+    assert [tuple(r) for r in classify.predictions(classify.train(df, ["a", "b"], "target"), df).collect()] == [tuple(r) for r in got]
+
+
+def test_tables_are_removed_when_done(spark):
+    t = shared.written(spark.range(3), "t")
+    assert t.count() == 3
+    shared.remove(t)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(t._kinweave_path).count()
+
+
 def test_inserts_are_idempotent_and_snapshots_keep_the_newest(spark):
     full, new = spark.createDataFrame([("1", "a")], "card_nbr string, x string"), spark.createDataFrame([("1", "b"), ("2", "c")], "card_nbr string, x string")
     once = identity.insert_unseen(full, new, ["card_nbr", "x"])
