@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over documents, each calling one operator of kinweave.llm."""
+"""The corpus pipeline: stages over documents, each calling one operator of kinweave.llm.
+
+Every stage takes any rows: null and empty texts, null ids, ids that several rows have, equal rows and no rows at all. Columns
+beyond those of documents come along, whatever their names, but for the last stage, which returns its digests only.
+"""
 
 from __future__ import annotations
 
@@ -8,30 +12,34 @@ from kinweave.llm import common, mixing, pieces, simhash, suffixes, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine, learned from docs and the labels, does not reject."""
+    """Documents that the toxicity machine, learned from docs and the labels, does not reject. Rows stay or go each by its own text; null and
+    empty texts stay; without toxic labels all stay."""
     common.short_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.machine_for(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id."""
+    """Of every group of near-duplicates the document with the smallest id. Null and word-less texts are a group like any other. Rows that
+    repeat the smallest id all stay; so do rows without an id where no row of their group has one, and they go where one has."""
     common.short_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 200-byte strings that the rest of the corpus or they themselves hold again."""
+    """All documents, without the 200-byte strings that the rest of the corpus or they themselves hold again, in whole characters. No row goes;
+    null texts become empty; each row is a text of its own, whatever its id."""
     common.short_batches(spark)
     return suffixes.strip_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: each document as often as it is taken, whole."""
+    """The mix in training order: each document as often as it is taken, whole. Texts without words are not taken; a null source is one of
+    its own, the last; rows that repeat an id follow one another."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids, and of their decoding, of each document of the mix."""
+    """Digests of the ids, and of their decoding, of each document of the mix, one row a row; null texts count as empty."""
     common.short_batches(spark)
     return pieces.piece_digests(docs)
 
