@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.graph import connected_components
+from kinweave.sources.catalog import dimension
 
 from . import common
 
@@ -36,7 +37,8 @@ FAN = 8
 HOT = 4096
 #: Rows of a frontier that is worked on at once.
 WIDE = 1 << 18
-SALTS = 16
+#: Rows of a class beyond which they are met by a broadcast row of their class.
+HOT_CLASS = 100_000
 #: Mean rows of a bucket at which more blocks are made to agree.
 CROWDED = 64
 
@@ -203,15 +205,24 @@ def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE) -
     joined = connected_components(links(classes.where("id is not null").select("id", "fp"), most))
     # Only a class of several rows, or one that is linked, has a component that its row does not show.
     of = classes.join(joined.select("id", "component"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"), "n", "id").where((F.col("n") > 1) | (F.col("component") != F.col("id")))
-    of = of.select("fp", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(of, ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+    of = common.written(of.select("fp", "component", "n"), "components")
+    common.remove(classes)
+    # Rows of hot classes, of which there can be no more than rows / HOT_CLASS, do not meet in one task.
+    hot = dimension(of.where(F.col("n") > HOT_CLASS).select("fp", "component"))
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") <= HOT_CLASS).select("fp", "component"), "fp", "left")
+    return rows.join(hot, "fp").unionByName(rest).select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, as they are; of rows that repeat such an id all stay."""
-    keep = near_duplicates(docs, most).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    """Of each component one row of docs, as it is: that with the smallest id, null last; of rows that share it the first by an order of their own."""
+    rows, known = common.rows_told_apart(docs, "doc_id", kept=F.struct("*"))
+    if known["by_id"]:
+        keep = near_duplicates(docs, most).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+        return docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("kept.text").alias("text")), most)
+    each = found.join(rows.select("row", "id"), F.col("doc_id") == F.col("row")).select("component_id", F.struct(F.col("id").isNull(), "id", "row").alias("turn"))
+    keep = each.groupBy("component_id").agg(F.min("turn").alias("first")).select("first.row")
+    return rows.join(keep, "row", "left_semi").select("kept.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

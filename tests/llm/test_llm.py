@@ -4,6 +4,7 @@ import io
 import itertools
 import math
 import random
+import re
 import struct
 import time
 import wave
@@ -484,19 +485,89 @@ def test_mixing(spark, odd, none):
         assert np.allclose([a * x + (b - a) * x * x / 2 for x in t], u)
 
 
-def test_pipeline(spark):
+def plain_components(texts):
+    """Number of the first text of each text's component."""
+    fps = [brute_fp(t) for t in texts]
+    label = list(range(len(fps)))
+    while any((low := min(label[i], label[j])) != max(label[i], label[j]) and not (label.__setitem__(i, low), label.__setitem__(j, low)) == () for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4):
+        pass
+    return label
+
+
+def plain_mix(rows):
+    """Row numbers of the mix, each as often as it is taken whole, and nothing of their order."""
+    size = [len(re.findall(common.WORD, r.text or "")) for r in rows]
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    have = {s: sum(n for n, r in zip(size, rows, strict=True) if r.source == s) for s in names}
+    target, free = {}, set(names)
+    while True:
+        left = sum(size) - sum(target.values())
+        share = {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if 3 * have[s] <= share[s]}
+        if not full:
+            break
+        target.update({s: 3.0 * have[s] for s in full})
+        free -= full
+        if not free:
+            break
+    target.update(share if free else {})
+    out = []
+    for s in names:
+        want, at = round(target[s]), 0
+        mine = sorted((k for k, r in enumerate(rows) if r.source == s), key=lambda k: (hashlib.md5(str("" if rows[k].doc_id is None else rows[k].doc_id).encode()).hexdigest(), rows[k].doc_id is not None, rows[k].doc_id or 0, size[k]))
+        whole = want // have[s] if have[s] else 0
+        for k in mine:
+            more = want - whole * have[s] - at
+            out += [k] * ((whole + (more > 0 and 2 * more >= size[k])) if size[k] else 0)
+            at += size[k]
+    return out
+
+
+def check_stages(spark, docs, sf):
+    """Each stage against a plain version of it, on what the one before it left."""
     import corpus_pipeline as C
 
-    docs = few = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
     for name, stage in C.STAGES:
-        before, docs = docs, common.written(stage(spark, docs, SF), name)
-        if name != "pieces":
-            assert docs.dtypes == few.dtypes
+        rows = docs.collect()
+        after = common.written(stage(spark, docs, sf), name)
+        got = after.collect()
+        texts = Counter((r.doc_id, r.text) for r in got) if name != "pieces" else None
+        if name == "toxicity":
+            machine = toxicity.machine_for(docs, labels)
+            said = toxicity.Judge(machine).scores([r.text for r in rows]) if machine else [0.0] * len(rows)
+            assert Counter(map(repr, got)) == Counter(repr(r) for r, x in zip(rows, said, strict=True) if x < 0.5)
         if name == "simhash":
-            assert set(docs.select("doc_id").collect()) == set(simhash.near_duplicates(before).where("doc_id = component_id").select("doc_id").collect())
+            label = plain_components([r.text for r in rows])
+            best: dict[int, tuple] = {}
+            for k, r in enumerate(rows):
+                best[label[k]] = min(best.get(label[k], (True, True, 0)), (False, r.doc_id is None, r.doc_id or 0))
+            assert Counter(r.doc_id for r in got) == Counter(None if none_ else i for _, none_, i in best.values())
+            assert Counter(map(repr, got)) <= Counter(map(repr, rows))
         if name == "suffixes":
-            rows = before.collect()
             raw = [(r.text or "").encode() for r in rows]
-            want = {r.doc_id: suffixes.kept_bytes(t, suffixes.whole_characters(t, x)).decode() for r, t, x in zip(rows, raw, brute_bytes(raw), strict=True)}
-            assert {r.doc_id: r.text for r in docs.collect()} == want
-    assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() == before.count()
+            assert texts == Counter((r.doc_id, suffixes.kept_bytes(t, suffixes.whole_characters(t, x)).decode()) for r, t, x in zip(rows, raw, brute_bytes(raw), strict=True))
+        if name == "mixing":
+            assert texts == Counter((rows[k].doc_id, rows[k].text) for k in plain_mix(rows))
+        if name == "pieces":
+            library = pieces.Pieces(pieces.default_model()).model
+            ids = [library.encode(r.text or "", add_bos=True, add_eos=True) for r in rows]
+            assert Counter(map(tuple, got)) == Counter((r.doc_id, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(x).encode()).hexdigest()) for r, x in zip(rows, ids, strict=True))
+        else:
+            assert after.columns == columns
+        docs = after
+    return docs
+
+
+def test_pipeline(spark):
+    assert check_stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count() > 100
+
+
+def test_pipeline_stages_in_odd_tables(spark, odd, none, tmp_path):
+    rows = [*UNTOLD, (None, passage(4)), (3, passage(21) + "."), (3, passage(21) + " !"), (None, passage(22))]
+    df = spark.createDataFrame([(i, t, "en", "s" if k % 3 else None, 7, "x") for k, (i, t) in enumerate(rows)], odd.schema).unionByName(odd)
+    spark.createDataFrame([(1, None, 0), (None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    check_stages(spark, df, str(tmp_path))
+    assert check_stages(spark, none, str(tmp_path)).count() == 0
