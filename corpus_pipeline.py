@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id. Null and word-less texts are a group like any other. Rows that
-    repeat the smallest id all stay; so do rows without an id where no row of their group has one, and they go where one has."""
+    """Of every group of near-duplicates the document with the smallest id, one row. Null and word-less texts are a group like any other. Rows
+    without an id stay only where no row of their group has one; of rows that share the id one stays."""
     common.short_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
