@@ -35,6 +35,8 @@ LENGTH, GRAM = 200, 64
 SHALLOW = 96
 #: Different surroundings of an anchor beyond which its windows are counted one by one.
 HOT = 4096
+#: An anchor with over one in so many of all repeated ones is dealt out to SALTS tasks.
+MANY_ANCHORS, SALTS = 10_000, 64
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -208,8 +210,8 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     yield from np.split(values, ends[:-1])
 
 
-def _anchor_rows(rows: DataFrame, length: int, gram: int, marks: bool) -> DataFrame:
-    """h and c, the hash of all around, of every anchor; with row and mark if wanted."""
+def _anchor_rows(rows: DataFrame, length: int, gram: int, marks: bool, frequent: np.ndarray | None = None) -> DataFrame:
+    """h and c, the hash of all around, of every anchor; if marks are wanted with row, mark and salt, which differs for frequent ones."""
 
     def run(batches):
         tool = Anchors(length, gram)
@@ -219,13 +221,14 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int, marks: bool) -> DataFr
                 h, owned = tool.owned(raw)
                 if owned.size:
                     at, low, high = places(owned)
-                    more = (np.full(at.size, i, np.int64), pack_marks(at, low, high)) if marks else ()
-                    parts.append((h[at].view(np.int64), tool.surroundings(at).view(np.int64), *more))
+                    own = h[at].view(np.int64)
+                    more = (np.full(at.size, i, np.int64), pack_marks(at, low, high), np.where(np.isin(own, frequent), i % SALTS, 0).astype(np.int32)) if marks else ()
+                    parts.append((own, tool.surroundings(at).view(np.int64), *more))
             if parts:
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "c", "row", "mark"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["h", "c", "row", "mark", "salt"][: len(columns)])
 
-    return rows.mapInArrow(run, "h long, c long" + (", row long, mark long" if marks else ""))
+    return rows.mapInArrow(run, "h long, c long" + (", row long, mark long, salt int" if marks else ""))
 
 
 def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -313,8 +316,12 @@ def byte_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     # Which anchors occur again, and whether with one surrounding only.
     seen = _anchor_rows(texts, length, gram, False).groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    kinds = common.written(seen.select("h", (F.col("low") == F.col("high")).alias("alike")), "anchors")
-    marks = _anchor_rows(texts, length, gram, True).join(kinds, "h").groupBy("row").agg(F.collect_list(F.when(F.col("alike"), F.col("mark"))).alias("sure"), F.collect_list(F.when(~F.col("alike"), F.struct("mark", "h", "c"))).alias("open"))
+    kinds = common.written(seen.select("h", (F.col("low") == F.col("high")).alias("alike"), "n"), "anchors")
+    # Anchors with over one in MANY_ANCHORS of all repeated ones: fewer than MANY_ANCHORS, whatever the corpus.
+    most = max(kinds.agg(F.sum("n")).first()[0] or 0, 1) // MANY_ANCHORS + HOT
+    frequent = np.array([r.h for r in kinds.where(F.col("n") > most).select("h").collect()], np.int64)
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, SALTS - 1).otherwise(0)))
+    marks = _anchor_rows(texts, length, gram, True, frequent).join(kinds.select("h", "alike", salts.alias("salt")), ["h", "salt"]).groupBy("row").agg(F.collect_list(F.when(F.col("alike"), F.col("mark"))).alias("sure"), F.collect_list(F.when(~F.col("alike"), F.struct("mark", "h", "c"))).alias("open"))
     marks = common.written(marks, "marks")
     common.remove(kinds)
 
