@@ -198,7 +198,10 @@ query("pairs_minus_device", f"select {_FEW} from all_pairs where (card_nbr_1, ca
 _INDICATORS = ["either_null_first_nm", "both_valid_first_nm", "either_null_email_address", "same_fn", "approx_fn", "same_ln", "approx_ln", "same_email_address", "approx_email_address", "same_address", "same_gender", "first_nm_in_email", "jw_simi_fn", "lev_ratio_ln", "damerau_lev_simi_fn", "jw_simi_address"]
 
 
-def _features_sql() -> str:
+_MORE = ["either_null_last_nm", "either_null_address", "either_null_gender", "same_first_nm_sdx", "same_last_nm_sdx", "lev_ratio_fn", "jw_simi_ln", "damerau_lev_simi_ln"]
+
+
+def _features_sql(wanted: list[str]) -> str:
     known = lambda r: f"({r}_1 <> '' and {r}_2 <> '')"
     inside = lambda r: f"cast({known(r)} and (contains({r}_1, {r}_2) or contains({r}_2, {r}_1)) as integer)"
     same = lambda r: f"cast({known(r)} and {r}_1 = {r}_2 as integer)"
@@ -211,15 +214,18 @@ def _features_sql() -> str:
         "same_fn": same("first_nm"), "approx_fn": inside("first_nm"), "same_ln": same("last_nm"), "approx_ln": inside("last_nm"), "same_email_address": same("email_address"), "approx_email_address": same("email_user"),
         "same_address": same("address"), "same_gender": same("gender"),
         "first_nm_in_email": "cast((first_nm_1 <> '' and email_user_1 <> '' and contains(email_user_1, first_nm_1)) or (first_nm_2 <> '' and email_user_1 <> '' and contains(email_user_1, first_nm_2)) as integer)",
+        "either_null_last_nm": f"cast(not {known('last_nm')} as integer)", "either_null_address": f"cast(not {known('address')} as integer)", "either_null_gender": f"cast(not {known('gender')} as integer)",
+        "same_first_nm_sdx": f"cast({known('first_nm')} and {O.soundex('first_nm_1')} = {O.soundex('first_nm_2')} as integer)", "same_last_nm_sdx": f"cast({known('last_nm')} and {O.soundex('last_nm_1')} = {O.soundex('last_nm_2')} as integer)",
+        "lev_ratio_fn": similar("first_nm", _indel_sql), "jw_simi_ln": similar("last_nm", _jw_sql), "damerau_lev_simi_ln": similar("last_nm", _damerau_sql),
         "jw_simi_fn": similar("first_nm", _jw_sql), "lev_ratio_ln": similar("last_nm", _indel_sql), "damerau_lev_simi_fn": similar("first_nm", _damerau_sql), "jw_simi_address": similar("address", _jw_sql),
     }
-    return "select card_nbr_1, card_nbr_2, " + ", ".join(f"{found[n]} as {n}" for n in _INDICATORS) + f" from ({O.person_pairs('phone')})"
+    return "select card_nbr_1, card_nbr_2, " + ", ".join(f"{found[n]} as {n}" for n in wanted) + f" from ({O.person_pairs('phone')})"
 
 
-@query("model_features", _features_sql(), rich=True)
-def _model_features(s: Stages) -> DataFrame:
-    df = classify.model_features(s.person_pairs("phone"))
-    return df.select("card_nbr_1", "card_nbr_2", *[F.round(n, DIGITS).alias(n) if "simi" in n or "ratio" in n else F.col(n) for n in _INDICATORS])
+for _name, _wanted in (("model_features", _INDICATORS), ("model_features_more", _MORE)):
+    query(_name, _features_sql(_wanted), rich=True)(
+        lambda s, wanted=_wanted: classify.model_features(s.person_pairs("phone")).select("card_nbr_1", "card_nbr_2", *[F.round(n, DIGITS).alias(n) if "simi" in n or "ratio" in n else F.col(n) for n in wanted])
+    )
 
 
 @query("model_train")
