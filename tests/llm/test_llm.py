@@ -307,6 +307,23 @@ def test_languages(spark, odd, none):
     assert language.predict(none, model).count() == 0
 
 
+def test_language_scores_follow_a_plain_version(spark, few):
+    """The query's rows, each text worked out by itself, gram by gram."""
+    model, grams = language.train_model(language.training_rows(few)), language.Grams()
+    got = {r.doc_id: r for r in language.op6_language_id(spark, SF).collect()}
+    assert len(got) == few.count()
+    for r in few.where("doc_id % 7 = 0").collect():
+        text = r.text or ""
+        ids, _, letters = grams.ids([text])
+        n = len(text) + language.GRAMS
+        logit = [sum(int(model["weights"][i, k]) for part in ids for i in part.tolist()) * language.SCALE / language.FIXED / n / model["temperature"] for k in range(len(model["languages"]))]
+        top = max(range(len(logit)), key=logit.__getitem__)
+        share = 1 / sum(math.exp(x - logit[top]) for x in logit)
+        assert letters[0] == any(c.isalpha() for c in text)
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ((model["languages"][top], pytest.approx(share)) if letters[0] else ("und", 0.0))
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
 def test_quality(spark, sf):
     import duckdb
