@@ -7,6 +7,7 @@ stays until clean() is called or the driver's process ends.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,10 +32,16 @@ def session_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{shared_folder(spark)}/kinweave-{uuid.uuid4().hex}"
-        atexit.register(clean, spark)
+        atexit.register(_last, spark)
     return _FOLDERS[app]
 
 
+def _last(spark: SparkSession) -> None:
+    """At the end of the process, when the JVM may be gone already: then the folder stays."""
+    with contextlib.suppress(Exception):
+        clean(spark)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
