@@ -36,15 +36,15 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
-def rows_told_apart(docs: DataFrame, id_col: str, **columns: Column) -> tuple[DataFrame, dict]:
-    """id, row and the columns of docs, and what is known of the whole: whether ids tell rows apart, the least and greatest, and, if a
-    column is named raw, its bytes and the longest.
+def rows_told_apart(docs: DataFrame, id_col: str, sized: str | None = None, **columns: Column) -> tuple[DataFrame, dict]:
+    """id, row and the columns of docs, and what is known of the whole: whether ids tell rows apart, the least and greatest, and the
+    bytes, in all and of the longest, of the column that sized names.
 
     row is a long of its own for each row. Where all ids are there and differ, counted over the whole table, it is the id.
     Otherwise the rows are written once with numbers, so that rows with no id, or with one id, stay rows of their own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *[c.alias(n) for n, c in columns.items()])
-    by = rows.select("id", (F.octet_length("raw").cast("long") if "raw" in columns else F.lit(0)).alias("n")).groupBy("id").agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"), F.max("n").alias("longest"))
+    by = rows.select("id", (F.octet_length(sized).cast("long") if sized else F.lit(0)).alias("n")).groupBy("id").agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"), F.max("n").alias("longest"))
     known = by.agg(F.max("rows").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls"), F.sum("bytes").alias("bytes"), F.max("longest").alias("longest"), F.min("id").alias("least"), F.max("id").alias("greatest")).first().asDict()
     known["by_id"] = not known["nulls"] and (known["most"] or 0) < 2
     if known["by_id"]:

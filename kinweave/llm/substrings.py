@@ -219,7 +219,7 @@ def places(owned: np.ndarray) -> np.ndarray:
 
 def window_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, raw (the text's bytes) and removed: (start, stop) pairs of words, flat, that the repeats cover. One row for each row of docs."""
-    rows, known = common.rows_told_apart(docs, id_col, raw=common.text_bytes(text_col))
+    rows, known = common.rows_told_apart(docs, id_col, "raw", raw=common.text_bytes(text_col))
     slices, bits = width(known["bytes"] or 0)
     sketches = partition_sketches(rows.select("row", "raw"), slices, bits, window, gram)
     marks = common.written(estimated_repeats(merged(sketches, bits), slices, bits), "estimated")

@@ -212,6 +212,14 @@ def brute_fp(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_rows_of_hot_classes_have_the_same_components(spark, odd, monkeypatch):
+    plain = Counter(tuple(r) for r in simhash.near_duplicates(odd).collect())
+    kept = Counter(map(repr, simhash.drop_near_duplicates(odd).collect()))
+    monkeypatch.setattr(simhash, "HOT_CLASS", 1)
+    assert Counter(tuple(r) for r in simhash.near_duplicates(odd).collect()) == plain
+    assert Counter(map(repr, simhash.drop_near_duplicates(odd).collect())) == kept
+
+
 def test_fingerprints_and_classes(spark, odd, none, few):
     docs = [(r.doc_id, r.text) for r in few.collect()]
     fps = {i: brute_fp(t) for i, t in docs}
