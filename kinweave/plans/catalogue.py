@@ -237,6 +237,15 @@ def _model_train(s: Stages) -> DataFrame:
 query("model_predict")(lambda s: classify.predictions(s.model, s.labelled_pairs, 0.75).select("card_nbr_1", "card_nbr_2", "prob_1", "prob_0", "prediction", *classify.FEATURES).distinct())
 
 
+@query("model_threshold", "select cast(0 as bigint) as wrong, true as some_at_it")
+def _model_threshold(s: Stages) -> DataFrame:
+    """Predictions that do not follow from their probability, at a threshold that some pairs just reach."""
+    said = classify.predictions(s.model, s.labelled_pairs)
+    most = said.agg(F.max("prob_1")).first()[0]
+    at = classify.predictions(s.model, s.labelled_pairs, most)
+    return at.agg(F.count_if(F.col("prediction") != 0).alias("wrong"), (F.count_if(F.col("prob_1") == F.lit(most).cast("float")) > 0).alias("some_at_it"))
+
+
 # Components and ids.
 
 query("person_components", "select id, component from person_components", rich=True)(lambda s: s.person_components)
