@@ -32,6 +32,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ POSITIVE, NEGATIVE, LONGEST_TEXT = 1500, 2500, 20_000
 #: Least likelihood ratio statistic of a stem and of a whole word that holds one, and fewest toxic documents that have either.
 LEAST_G, WORD_G, LEAST_DOCS = 30.0, 15.0, 3
 KEPT = 400_000
+#: Units that are held against the landmarks at once.
+PART = 16_384
 #: Worst sentences of a document whose mean margin counts beside that of the very worst.
 TOP = 2
 #: Weight of either class in training.
@@ -220,19 +223,27 @@ class Machine:
 
     def unit_kernels(self, found: list[str]) -> tuple[list[str], np.ndarray]:
         """The units that are near any landmark, and their kernels; of a unit's windows the one with the greatest sum."""
-        cut = [windows(u) for u in found]
-        flat = sorted({w for ws in cut for w in ws})
-        raw = self.kernels(flat)
-        total = raw.sum(axis=1)
-        at = {w: i for i, w in enumerate(flat) if total[i] > 0}
-        best = [max((at[w] for w in ws if w in at), key=lambda i: total[i], default=-1) for ws in cut]
-        some = [k for k, i in enumerate(best) if i >= 0]
-        return [found[k] for k in some], raw[[best[k] for k in some]]
+        units_, rows = [], [np.zeros((0, len(self.stems) + len(self.words)))]
+        for i in range(0, len(found), PART):
+            part = found[i : i + PART]
+            cut = [windows(u) for u in part]
+            flat = sorted({w for ws in cut for w in ws})
+            raw = self.kernels(flat)
+            total = raw.sum(axis=1)
+            at = {flat[i]: i for i in np.flatnonzero(total > 0).tolist()}
+            best = [max((at[w] for w in ws if w in at), key=lambda i: total[i], default=-1) for ws in cut]
+            some = [k for k, i in enumerate(best) if i >= 0]
+            units_ += [part[k] for k in some]
+            rows.append(raw[[best[k] for k in some]])
+        return units_, np.concatenate(rows)
 
     def pulls(self, found: list[str]) -> dict[str, float]:
         """What each unit that is near a landmark adds to the margin of a sentence."""
         some, raw = self.unit_kernels(found)
-        return dict(zip(some, np.round(raw @ (self.project @ self.weights), 4).tolist(), strict=True))
+        return dict(zip(some, self.pull(raw), strict=True))
+
+    def pull(self, raw: np.ndarray) -> list[float]:
+        return np.round(raw @ (self.project @ self.weights), 4).tolist()
 
     def margins(self, text: str, pulling: dict[str, float]) -> list[float]:
         """Of the sentences of a text that hold units which pull."""
@@ -320,29 +331,41 @@ def likelihood(k: int, p: int, m: int, n: int) -> float:
     return total
 
 
-def pick_landmarks(toxic: list[set[str]], others: list[set[str]]) -> tuple[list[str], list[str]]:
+def pick_landmarks(toxic: Iterable[set[str]], others: Iterable[set[str]]) -> tuple[list[str], list[str]]:
     """Stems: bounded strings by likelihood ratio, again and again the best (of near equals the longest), without words that
-    hold one already, until none passes the bar. Words: whole words that hold a stem and pass theirs."""
-    p, n = len(toxic), len(others)
+    hold one already, until none passes the bar. Words: whole words that hold a stem and pass theirs. Documents are met one by one."""
+    p = n = 0
     docs_of: dict[str, set[int]] = {}
-    for k, doc in enumerate(toxic):
+    for doc in toxic:
         for w in doc:
-            docs_of.setdefault(core(w), set()).add(k)
+            docs_of.setdefault(core(w), set()).add(p)
+        p += 1
+    # Most strings stand in one word of one document: no more than a bound on the documents is kept of those.
+    most = bytearray(1 << 22)
+    for w, held_by in docs_of.items():
+        for s in bounded(w):
+            k = hash(s) & len(most) - 1
+            most[k] = min(most[k] + len(held_by), 255)
     words_of: dict[str, set[str]] = {}
     for w in docs_of:
         for s in bounded(w):
-            words_of.setdefault(s, set()).add(w)
+            if most[hash(s) & len(most) - 1] >= LEAST_DOCS:
+                words_of.setdefault(s, set()).add(w)
     docs = lambda s: len(set().union(*(docs_of[w] for w in words_of[s])))
     held = {s: k for s in words_of if (k := docs(s)) >= LEAST_DOCS}
-    inside: dict[str, list[str]] = {}
+    inside: dict[str, tuple[str, ...]] = {}
     against: Counter[str] = Counter()
     for doc in others:
         seen: set[str] = set()
         for w in doc:
             if w not in inside:
-                inside[w] = [s for s in bounded(w) if s in held]
+                if len(inside) > KEPT // 4:
+                    inside.clear()
+                inside[w] = tuple(s for s in bounded(w) if s in held)
             seen.update(inside[w])
         against.update(seen)
+        n += 1
+    inside.clear()
     strength = {s: g for s, k in held.items() if (g := likelihood(k, p, against[s], n)) >= WORD_G}
     whole = {s for s in strength if s[0] == LEFT and s[-1] == RIGHT}
     strength = {s: g for s, g in strength.items() if g >= LEAST_G}
@@ -355,8 +378,9 @@ def pick_landmarks(toxic: list[set[str]], others: list[set[str]]) -> tuple[list[
         changed = set()
         for w in words_of[best].copy():
             for s in bounded(w):
-                words_of[s].discard(w)
-                changed.add(s)
+                if s in words_of:
+                    words_of[s].discard(w)
+                    changed.add(s)
         for s in changed & strength.keys():
             if (k := docs(s)) < LEAST_DOCS or (g := likelihood(k, p, against[s], n)) < LEAST_G:
                 del strength[s]
@@ -382,24 +406,30 @@ def unlike(texts: list[str]) -> list[str]:
 
 def train_machine(toxic: list[str], others: list[str]) -> Machine | None:
     """From the texts of toxic and other labelled documents; null if nothing sets them apart."""
-    texts = [*unlike(toxic), *(rest := unlike(others))]
-    bad = np.arange(len(texts)) < len(texts) - len(rest)
-    found = [units(t) for t in texts]
-    stems, words = pick_landmarks([d for d, b in zip(found, bad, strict=True) if b], [d for d, b in zip(found, bad, strict=True) if not b])
+    bad_texts, good_texts = unlike(toxic), unlike(others)
+    stems, words = pick_landmarks(map(units, bad_texts), map(units, good_texts))
     if not stems:
         return None
     machine = Machine(stems, words)
-    some, raw = machine.unit_kernels(sorted(set().union(*found)))
-    at = {u: i for i, u in enumerate(some)}
+    texts = bad_texts + good_texts
+    bad = np.arange(len(texts)) < len(bad_texts)
+    # Units are worked out part by part; only those near a landmark stay, and which of them each text holds.
+    raw, at, near_units = [np.zeros((0, len(stems) + len(words)))], {}, []
+    for i in range(0, len(texts), 256):
+        found = [units(t) for t in texts[i : i + 256]]
+        some, rows = machine.unit_kernels(sorted(set().union(*found) - at.keys()))
+        raw.append(rows)
+        at.update({u: len(at) + k for k, u in enumerate(some)})
+        near_units += [f & at.keys() for f in found]
+    raw = np.concatenate(raw)
     # One row for each sentence that has any feature, and one for all that have none.
     x, owner = [np.zeros(raw.shape[1])], [-1]
     for k, t in enumerate(texts):
-        if not found[k].isdisjoint(at):
-            for s in sentences(t):
-                mine = [at[u] for u in units(s) if u in at]
-                if mine:
-                    x.append(raw[sorted(mine)].sum(axis=0))
-                    owner.append(k)
+        for s in sentences(t) if near_units[k] else []:
+            mine = [at[u] for u in units(s) if u in at]
+            if mine:
+                x.append(raw[sorted(mine)].sum(axis=0))
+                owner.append(k)
     x, owner = np.array(x) @ machine.project, np.array(owner)
     toxic_row = (owner >= 0) & bad[owner]
     positive = toxic_row.copy()
@@ -413,8 +443,8 @@ def train_machine(toxic: list[str], others: list[str]) -> Machine | None:
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, owner[1:], margin[1:])
         positive = toxic_row & ((margin > 0) | (margin >= worst[owner]))
-    known = machine.pulls(some)
-    machine.calibrate(np.array([machine.evidence(machine.margins(t, {u: known[u] for u in f & known.keys() if known[u]})) for t, f in zip(texts, found, strict=True)]), bad)
+    known = dict(zip(at, machine.pull(raw), strict=True))
+    machine.calibrate(np.array([machine.evidence(machine.margins(t, {u: known[u] for u in f if known[u]})) for t, f in zip(texts, near_units, strict=True)]), bad)
     return machine
 
 
@@ -454,10 +484,8 @@ class Judge:
         if len(known) + len(missing) > KEPT:
             known.clear()
             missing = sorted(set().union(*docs))
-        for i in range(0, len(missing), 16384):
-            part = missing[i : i + 16384]
-            known.update(dict.fromkeys(part, 0.0))
-            known.update(m.pulls(part))
+        known.update(dict.fromkeys(missing, 0.0))
+        known.update(m.pulls(missing))
         out = []
         for t, d in zip(texts, docs, strict=True):
             pulling = {u: x for u in d if (x := known[u])}
