@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.sources.catalog import dimension
+
 from . import common, rolling
 
 LENGTH, GRAM = 200, 64
@@ -328,16 +330,17 @@ def byte_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     # Of the others, a group for each surrounding; its first row stands for it.
     each = marks.select("row", F.explode("open").alias("o")).select("row", "o.mark", "o.h", "o.c")
     groups = common.written(each.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "mark")).alias("f")).select("h", "c", "n", "f.row", "f.mark"), "groups")
-    crowds = groups.groupBy("h").agg(F.count("*").alias("different")).where(F.col("different") > (HOT if hot is None else hot)).select("h", F.lit(CROWD).alias("crowd"))
+    # Broadcast where there are few, so that the groups of a crowded anchor do not meet.
+    crowds = common.written(groups.groupBy("h").agg(F.count("*").alias("different")).where(F.col("different") > (HOT if hot is None else hot)).select("h", F.lit(CROWD).alias("crowd")), "crowds")
     code = F.col("mark") + F.coalesce("crowd", F.lit(0)) + F.when(F.col("n") > 1, MANY).otherwise(0)
-    stand = common.written(groups.join(crowds, "h", "left").groupBy("row").agg(F.collect_list(F.struct(code.alias("mark"), F.col("h").alias("key"))).alias("all")).select("row", F.col("all.mark").alias("marks"), F.col("all.key").alias("keys")), "stand")
+    stand = common.written(groups.join(dimension(crowds), "h", "left").groupBy("row").agg(F.collect_list(F.struct(code.alias("mark"), F.col("h").alias("key"))).alias("all")).select("row", F.col("all.mark").alias("marks"), F.col("all.key").alias("keys")), "stand")
     contexts = common.written(_contexts(texts.join(stand, "row"), length, gram), "contexts")
     proven = _sorted_stretches(contexts, length).groupBy("row").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 31) + F.col("stop")).alias("proven"))
     single = contexts.where("crowd").groupBy("key", "more").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("at").alias("at")).where("n = 1").groupBy("row").agg(F.collect_list(F.col("at").cast("long")).alias("single"))
     again = each.join(groups.where("n > 1").select("h", "c"), ["h", "c"]).groupBy("row").agg(F.collect_list("mark").alias("again"))
     told = marks.select("row", "sure").join(again, "row", "left").join(stand.select("row", F.filter("marks", lambda m: m.bitwiseAND(3) == CROWD).alias("crowd")), "row", "left").join(proven, "row", "left").join(single, "row", "left")
     told = common.written(told, "told")
-    common.remove(marks, groups, stand, contexts)
+    common.remove(marks, groups, crowds, stand, contexts)
 
     def remove(batches):
         for batch in batches:
