@@ -32,19 +32,30 @@ def purchases_of(cards: DataFrame, transactions: DataFrame) -> DataFrame:
     return transactions.join(cards.select("card_nbr").distinct(), "card_nbr", "left_semi")
 
 
-def purchase_footprint(transactions: DataFrame, stores: DataFrame) -> DataFrame:
-    """card_nbr, first_txn_dte, first_upc and the first, last and most used store and zip code. Ties: the smallest values."""
+def store_footprint(transactions: DataFrame) -> DataFrame:
+    """card_nbr, first_txn_dte, first_upc and the first, last and most used store. Ties: the smallest values."""
     by = F.struct("txn_dte", "store_id", "upc_id")
     edges = transactions.groupBy("card_nbr").agg(F.min(by).alias("f"), F.max(F.struct("txn_dte", "store_id")).alias("l"))
     visits = transactions.groupBy("card_nbr", "store_id").agg(F.count("*").alias("n"))
     most = visits.groupBy("card_nbr").agg(F.min(F.struct((-F.col("n")).alias("n"), "store_id")).alias("m"))
-    out = edges.join(most, "card_nbr").select("card_nbr", F.col("f.txn_dte").alias("first_txn_dte"), F.col("f.upc_id").alias("first_upc"), F.col("f.store_id").alias("first_used_store_id"), F.col("l.store_id").alias("last_used_store_id"), F.col("m.store_id").alias("most_used_store_id"))
+    return edges.join(most, "card_nbr").select("card_nbr", F.col("f.txn_dte").alias("first_txn_dte"), F.col("f.upc_id").alias("first_upc"), F.col("f.store_id").alias("first_used_store_id"), F.col("l.store_id").alias("last_used_store_id"), F.col("m.store_id").alias("most_used_store_id"))
+
+
+def purchase_footprint(transactions: DataFrame, stores: DataFrame) -> DataFrame:
+    """store_footprint() with the stores' zip codes, a row a card: of a store id that several stores have, the smallest zip code."""
+    out = store_footprint(transactions)
     zips = stores.groupBy("store_id").agg(F.min("zip_code").alias("zip"))
     for use in ("first", "last", "most"):
         out = out.join(zips.withColumnsRenamed({"store_id": f"{use}_used_store_id", "zip": f"{use}_used_zip_code"}), f"{use}_used_store_id", "left")
     return out.select("card_nbr", "first_txn_dte", "first_upc", *[f"{u}_used_{c}" for u in ("first", "last", "most") for c in ("store_id", "zip_code")])
 
 
+def most_used_stores(transactions: DataFrame, stores: DataFrame) -> DataFrame:
+    """card_nbr, last and most used store, and most_used_zip_code: a row for each store that has the most used store's id, or one of no zip code."""
+    zips = stores.select(F.col("store_id").alias("most_used_store_id"), F.col("zip_code").alias("most_used_zip_code"))
+    return store_footprint(transactions).join(zips, "most_used_store_id", "left").select("card_nbr", "last_used_store_id", "most_used_store_id", "most_used_zip_code")
+
+
 def incremental_info(cards: DataFrame, accounts: DataFrame, footprint: DataFrame) -> DataFrame:
     """The accounts of cards, with the footprint's columns in place of their own where it has the card."""
     shared = [c for c in footprint.columns if c != "card_nbr"]

@@ -419,7 +419,7 @@ query("incremental_cards_full", "select card_nbr from accounts")(lambda s: incre
 query("incremental_purchases", "select card_nbr, txn_dte, store_id, upc_id from transactions where card_nbr in (select card_nbr from new_cards)")(lambda s: incremental.purchases_of(s.new_cards, s.data.transactions))
 query("first_txn", "select card_nbr, first_txn_dte, first_upc, first_used_store_id from footprint")(lambda s: incremental.purchase_footprint(s.data.transactions, s.data.stores).select("card_nbr", "first_txn_dte", "first_upc", "first_used_store_id"))
 query("most_used_store", "select f.card_nbr, last_used_store_id, most_used_store_id, z.zip_code as most_used_zip_code from footprint f left join stores z on z.store_id = f.most_used_store_id")(
-    lambda s: incremental.purchase_footprint(s.data.transactions, s.data.stores).select("card_nbr", "last_used_store_id", "most_used_store_id", "most_used_zip_code")
+    lambda s: incremental.most_used_stores(s.data.transactions, s.data.stores)
 )
 query("incremental_info", "select a.card_nbr, a.phone, coalesce(f.first_txn_dte, a.first_txn_dte) as first_txn_dte, f.last_used_store_id from accounts a left join footprint f on f.card_nbr = a.card_nbr where a.card_nbr in (select card_nbr from new_cards)")(
     lambda s: incremental.incremental_info(s.new_cards, s.accounts, incremental.purchase_footprint(s.data.transactions, s.data.stores)).select("card_nbr", "phone", "first_txn_dte", "last_used_store_id")
