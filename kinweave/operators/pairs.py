@@ -57,16 +57,24 @@ def union_pairs(parts: list[DataFrame | str] | DataFrame | str, distinct: bool =
     return out.distinct() if distinct else out
 
 
+def _device_roles(pii: DataFrame) -> list[str]:
+    wanted = [c for c in ("first_nm", "last_nm", "email_address") if c in pii.columns]
+    if not ({"first_nm", "last_nm"} <= set(wanted) or "email_address" in wanted):
+        raise ValueError("device pairs need first and last names or e-mail addresses")
+    return wanted
+
+
+def _seen(devices: DataFrame) -> DataFrame:
+    return devices.where(T.valid(F.col("mobile_device_id")) & T.valid(F.col("card_nbr"))).select("card_nbr", "mobile_device_id").distinct()
+
+
 def device_rows(devices: DataFrame, pii: DataFrame) -> DataFrame:
     """card_nbr, mobile_device_id, and names and e-mail of the card, of devices that several cards use.
 
     Cards keep their row where the contact data has none of them, unless there is a first name to know: those without one go.
     """
-    wanted = [c for c in ("first_nm", "last_nm", "email_address") if c in pii.columns]
-    if not ({"first_nm", "last_nm"} <= set(wanted) or "email_address" in wanted):
-        raise ValueError("device pairs need first and last names or e-mail addresses")
-    seen = devices.where(T.valid(F.col("mobile_device_id")) & T.valid(F.col("card_nbr"))).select("card_nbr", "mobile_device_id").distinct()
-    rows = seen.join(pii.select("card_nbr", *wanted).distinct(), "card_nbr", "left")
+    wanted = _device_roles(pii)
+    rows = _seen(devices).join(pii.select("card_nbr", *wanted).distinct(), "card_nbr", "left")
     rows = rows.where(F.col("first_nm").isNotNull()) if "first_nm" in wanted else rows
     shared = rows.groupBy("mobile_device_id").agg(F.countDistinct("card_nbr").alias("cnt")).where(F.col("cnt") > 1)
     return rows.join(shared, "mobile_device_id").select("card_nbr", "mobile_device_id", *wanted, "cnt")
@@ -99,6 +107,23 @@ def device_match_stars(devices: DataFrame, pii: DataFrame) -> DataFrame:
     return union_pairs(out, distinct=True)
 
 
+def device_matched(asked: DataFrame, devices: DataFrame, pii: DataFrame) -> DataFrame:
+    """card_nbr_1, card_nbr_2 of the asked pairs that are among the matched device pairs: equal known names, both of them, or
+    equal known e-mails, and a device of both. The asked pairs are looked up, so no device's pairs are made."""
+    wanted = _device_roles(pii)
+    kinds = [k for k in (("first_nm", "last_nm"), ("email_address",)) if set(k) <= set(wanted)]
+    people = pii.select("card_nbr", *wanted).distinct()
+    people = people.where(F.col("first_nm").isNotNull()) if "first_nm" in wanted else people
+    side = lambda i: people.select(*[F.col(c).alias(f"{c}_{i}") for c in ("card_nbr", *wanted)])
+    same = lambda c: T.both_valid(F.col(f"{c}_1"), F.col(f"{c}_2")) & (F.col(f"{c}_1") == F.col(f"{c}_2"))
+    alike = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [same(c) for c in k]) for k in kinds])
+    cards = ["card_nbr_1", "card_nbr_2"]
+    found = asked.where("card_nbr_1 < card_nbr_2").select(*cards).distinct().join(side(1), "card_nbr_1").join(side(2), "card_nbr_2").where(alike).select(*cards).distinct()
+    seen = _seen(devices)
+    found = found.join(seen.withColumnRenamed("card_nbr", "card_nbr_1"), "card_nbr_1")
+    return found.join(seen.withColumnRenamed("card_nbr", "card_nbr_2"), ["card_nbr_2", "mobile_device_id"], "left_semi").select(*cards).distinct()
+
+
 def device_cards(devices: DataFrame) -> DataFrame:
     """mobile_device_id, cnt and cards (different cards, in order, by commas) of the devices of more than one card."""
     known = devices.where(T.valid(F.col("mobile_device_id")) & T.valid(F.col("card_nbr"))).groupBy("mobile_device_id").agg(F.collect_set("card_nbr").alias("all"))

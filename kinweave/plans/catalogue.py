@@ -192,9 +192,7 @@ query("device_cards", "select mobile_device_id, count(distinct card_nbr) as cnt,
 query("device_pairs", "select * from device_pairs", rich=True)(lambda s: s.device_pairs)
 query("device_features", "select * from device_features", rich=True)(lambda s: classify.rule_features(s.device_pairs))
 query("device_match", "select card_nbr_1, card_nbr_2, mobile_device_id, prediction from device_matches", rich=True)(lambda s: s.device_matches.select("card_nbr_1", "card_nbr_2", "mobile_device_id", "prediction"))
-query("pairs_minus_device", f"select {_FEW} from all_pairs where (card_nbr_1, card_nbr_2) not in (select (card_nbr_1, card_nbr_2) from device_matches where prediction = 1)", rich=True)(
-    lambda s: pairs.without_pairs(s.all_pairs.select(*_FEW.split(", ")), s.device_matches.where("prediction = 1")).select(*_FEW.split(", "))
-)
+query("pairs_minus_device", f"select {_FEW} from all_pairs where (card_nbr_1, card_nbr_2) not in (select (card_nbr_1, card_nbr_2) from device_matches where prediction = 1)", rich=True)(lambda s: s.unmatched_pairs(_FEW.split(", ")))
 _INDICATORS = ["either_null_first_nm", "both_valid_first_nm", "either_null_email_address", "same_fn", "approx_fn", "same_ln", "approx_ln", "same_email_address", "approx_email_address", "same_address", "same_gender", "first_nm_in_email", "jw_simi_fn", "lev_ratio_ln", "damerau_lev_simi_fn", "jw_simi_address"]
 
 

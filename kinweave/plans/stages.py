@@ -57,6 +57,11 @@ class Stages:
     def device_matches(self) -> DataFrame:
         return classify.rule_match(classify.rule_features(self.device_pairs))
 
+    def unmatched_pairs(self, columns: list[str]) -> DataFrame:
+        """Columns of all pairs that are no matched device pairs."""
+        found = written(self.all_pairs.select(*columns), "pairs")
+        return pairs.without_pairs(found, pairs.device_matched(found, self.data.devices, self.table)).select(*columns)
+
     @cached_property
     def person_edges(self) -> DataFrame:
         """Phone pairs with one last name or one e-mail, and matched device pairs."""

@@ -1,11 +1,12 @@
 """What shows only in tables larger or more crowded than the driver's small ones."""
 
+import threading
 from collections import Counter
 
 import duckdb
-import pytest
 
 import __spark_entry__ as entry
+from kinweave.plans.stages import Stages
 
 SF = "/root/testdata/sf0.001"
 BASE = ("customer", "orders", "lineitem", "events", "supplier")
@@ -42,3 +43,22 @@ def test_stores_of_one_id_have_a_row_each(spark, tmp_path):
     )
     got = follows_sql(spark, "most_used_store", folder)
     assert got.total() == 2 * len({card for card, *_ in got})
+
+
+def test_pairs_of_a_crowded_device_are_looked_up_not_made(spark, tmp_path):
+    # 60,000 cards on one device have 1,800 million pairs; those of phones, e-mails and households are some 80,000.
+    folder = tables(
+        tmp_path,
+        customer="select * replace (i as c_custkey) from {customer} cross join range(60000) r(i) where c_custkey = 0",
+        events="select * replace (i as user_id, 5000 * ((61 - i * 7 % 61) % 61) as event_id) from {events} cross join range(60000) r(i) where event_id = 0",
+    )
+    late = threading.Timer(240, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = rows(entry.queries()["pairs_minus_device"](spark, folder).select("card_nbr_1", "card_nbr_2").collect())
+    finally:
+        late.cancel()
+    alike = "(first_nm_1 <> '' and first_nm_1 = first_nm_2 and last_nm_1 <> '' and last_nm_1 = last_nm_2) or (email_address_1 <> '' and email_address_1 = email_address_2)"
+    every = Stages(spark, folder).all_pairs
+    assert every.where(alike).count() > 10_000
+    assert got == rows(every.where(f"not ({alike})").select("card_nbr_1", "card_nbr_2").collect())
