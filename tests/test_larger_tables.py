@@ -4,8 +4,10 @@ import threading
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kinweave.operators import pairs
 from kinweave.plans.stages import Stages
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +64,15 @@ def test_pairs_of_a_crowded_device_are_looked_up_not_made(spark, tmp_path):
     every = Stages(spark, folder).all_pairs
     assert every.where(alike).count() > 10_000
     assert got == rows(every.where(f"not ({alike})").select("card_nbr_1", "card_nbr_2").collect())
+
+
+def test_pairs_of_one_device_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "DEVICE_PART", 64, raising=False)
+    cards = spark.range(1000).selectExpr("lpad(id, 4, '0') as card_nbr")
+    twice = cards.where("card_nbr = '0500'").selectExpr("card_nbr", "'b' as first_nm", "'' as last_nm", "'' as email_address")
+    pii = cards.selectExpr("card_nbr", "'a' as first_nm", "'' as last_nm", "'' as email_address").unionByName(twice)
+    found = pairs.device_pairs(cards.withColumn("mobile_device_id", F.lit("d")), pii)
+    made = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in made) == 1000 * 999 // 2 + 999  # card 0500 has two rows
+    assert found.where("card_nbr_1 >= card_nbr_2").isEmpty() and found.select("c1c2").distinct().count() == 1000 * 999 // 2
+    assert len(made) > 1
