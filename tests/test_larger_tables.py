@@ -76,3 +76,21 @@ def test_pairs_of_one_device_are_the_work_of_many_tasks(spark, monkeypatch):
     assert sum(r["count"] for r in made) == 1000 * 999 // 2 + 999  # card 0500 has two rows
     assert found.where("card_nbr_1 >= card_nbr_2").isEmpty() and found.select("c1c2").distinct().count() == 1000 * 999 // 2
     assert len(made) > 1
+
+
+def test_rows_of_a_crowded_device_are_not_dealt_out_with_its_square(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "DEVICE_PART", 8)
+
+    def shuffled(n):
+        cards = spark.range(n).selectExpr("lpad(id, 4, '0') as card_nbr", "'a' as first_nm", "'' as last_nm", "'' as email_address")
+        found = pairs.device_pairs(cards.select("card_nbr", F.lit("d").alias("mobile_device_id")), cards)
+        spark.sparkContext.setJobGroup(f"crowd {n}", "")
+        try:
+            assert found.count() == n * (n - 1) // 2
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+        stages = {s for j in tracker.getJobIdsForGroup(f"crowd {n}") for s in tracker.getJobInfo(j).stageIds}
+        return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+    assert shuffled(2000) < 3 * shuffled(1000) < 3 * 1000 * 64
