@@ -1,6 +1,7 @@
 """What shows only in tables larger or more crowded than the driver's small ones."""
 
 import threading
+import uuid
 from collections import Counter
 
 import duckdb
@@ -78,19 +79,41 @@ def test_pairs_of_one_device_are_the_work_of_many_tasks(spark, monkeypatch):
     assert len(made) > 1
 
 
+def shuffled(spark, job):
+    """Rows that a job shuffles."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        job()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
 def test_rows_of_a_crowded_device_are_not_dealt_out_with_its_square(spark, monkeypatch):
     monkeypatch.setattr(pairs, "DEVICE_PART", 8)
 
-    def shuffled(n):
+    def dealt(n):
         cards = spark.range(n).selectExpr("lpad(id, 4, '0') as card_nbr", "'a' as first_nm", "'' as last_nm", "'' as email_address")
         found = pairs.device_pairs(cards.select("card_nbr", F.lit("d").alias("mobile_device_id")), cards)
-        spark.sparkContext.setJobGroup(f"crowd {n}", "")
-        try:
-            assert found.count() == n * (n - 1) // 2
-        finally:
-            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-        tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
-        stages = {s for j in tracker.getJobIdsForGroup(f"crowd {n}") for s in tracker.getJobInfo(j).stageIds}
-        return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
-
-    assert shuffled(2000) < 3 * shuffled(1000) < 3 * 1000 * 64
+        counts = []
+        dealt = shuffled(spark, lambda: counts.append(found.count()))
+        assert counts == [n * (n - 1) // 2]
+        return dealt
+
+    assert dealt(2000) < 3 * dealt(1000) < 3 * 1000 * 64
+
+
+def test_matches_of_a_crowded_device_in_parts_follow_their_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairs, "DEVICE_PART", 4)
+    folder = tables(
+        tmp_path,
+        customer="select * replace (i as c_custkey) from {customer} cross join range(600) r(i) where c_custkey = 0",
+        events="select * replace (i as user_id, 5000 * ((61 - i * 7 % 61) % 61) as event_id) from {events} cross join range(600) r(i) where event_id = 0",
+    )
+    got = []
+    dealt = shuffled(spark, lambda: got.append(follows_sql(spark, "device_match", folder)))
+    assert got[0].total() > 100_000 and sum(n for row, n in got[0].items() if row[-1]) > 100
+    assert dealt < 50_000
