@@ -3,6 +3,7 @@
 import threading
 import uuid
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kinweave.operators import pairs
 from kinweave.plans.stages import Stages
+from kinweave.sources.shared import written
 
 SF = "/root/testdata/sf0.001"
 BASE = ("customer", "orders", "lineitem", "events", "supplier")
@@ -117,3 +119,45 @@ def test_matches_of_a_crowded_device_in_parts_follow_their_sql(spark, tmp_path,
     dealt = shuffled(spark, lambda: got.append(follows_sql(spark, "device_match", folder)))
     assert got[0].total() > 100_000 and sum(n for row, n in got[0].items() if row[-1]) > 100
     assert dealt < 50_000
+
+
+def crowd(tmp_path, n):
+    """The smallest data with n cards of which all use one device."""
+    return tables(
+        tmp_path,
+        customer=f"select * replace (i as c_custkey) from {{customer}} cross join range({n}) r(i) where c_custkey = 0",
+        events=f"select * replace (i as user_id, 5000 * ((61 - i * 7 % 61) % 61) as event_id) from {{events}} cross join range({n}) r(i) where event_id = 0",
+    )
+
+
+def test_matches_of_a_crowded_device_are_whole_and_take_little_disk(spark, tmp_path):
+    found = entry.queries()["device_match"](spark, crowd(tmp_path, 5000))
+    found.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5000 * 4999 // 2
+    assert sum(p.stat().st_size for p in Path(tmp_path, "out").rglob("*.parquet")) < 0.4 * 5000 * 4999 // 2
+
+
+def test_blocks_of_a_crowded_device_follow_their_sql(spark, tmp_path, monkeypatch):
+    # 13 cards a block and 40 a part: blocks that parts cut, and blocks in which side 1 stands too.
+    monkeypatch.setattr(pairs, "DEVICE_PART", 40)
+    monkeypatch.setattr(pairs, "DEVICE_BLOCK", 13, raising=False)
+    monkeypatch.setattr(pairs, "DEVICE_TASK", 1000, raising=False)
+    for name in ("device_match", "device_pairs", "device_features"):
+        (tmp_path / name).mkdir()
+        got = follows_sql(spark, name, crowd(tmp_path / name, 300))
+        assert got.total() == 300 * 299 // 2
+
+
+def test_shuffles_of_a_written_table_are_removed(spark, tmp_path):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    shuffles = lambda: {f for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before, switch = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    table = written(grouped, "grouped", shuffles_go=True)
+    assert not shuffles() - before
+    assert table.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == switch
+    assert len(grouped.collect()) == 7 and shuffles() - before  # others keep theirs
+    # Those of device_match are all gone before its pairs are made, but for some of a sum over devices.
+    folder, before = crowd(tmp_path, 300), shuffles()
+    entry.queries()["device_match"](spark, folder)
+    assert len(shuffles() - before) <= 12
